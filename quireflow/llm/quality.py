@@ -4,7 +4,9 @@ A document's histograms of character classes and of its language's common words
 documents of that language by Jensen-Shannon distance; below a minimum length a histogram says too little and is
 not judged. Base rules on length and repetition go first.
 
-The references are sums over all documents. Common-word candidates are words of up to ``max_word_chars``
+The references are sums over all documents that the base rules keep, then once more over those of them that are
+near the first sums, so that junk doesn't blur what it is measured against. How far a document may be depends on
+its length: a share of n things strays by about one in the root of n. Common-word candidates are words of up to ``max_word_chars``
 characters, counted over all documents, the ``top_words`` most frequent of each language. Both passes read the
 text once; histograms of documents are checkpointed between them, so the text is not read a third time.
 
@@ -24,7 +26,7 @@ from .common import WS, cut
 SYMBOLS = "#*$%&|<>"
 OTHER = "\u0000other"
 #: Character classes, each by a Java expression; what none of them names is the last class.
-CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "stop": r"[.,;:?'\"()-]", "shout": r"[!#*$%&|<>_=+~^@/\\{}\[\]]"}
+CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "stop": r"[.,;:?'\"()-]", "shout": r"[!#*$%&+@]", "bars": r"[|<>_=~^/\\{}\[\]]"}
 
 
 def words_of(text: Column) -> Column:
@@ -100,8 +102,8 @@ def judge_quality(
     max_langs: int = 32,
     min_chars: int = 120,
     min_common_words: int = 60,
-    max_class_distance: float = 0.30,
-    max_word_distance: float = 0.55,
+    class_limit: tuple[float, float] = (0.21, 2.2),
+    word_limit: tuple[float, float] = (0.26, 1.6),
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Columns ``keep``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance,
@@ -140,21 +142,25 @@ def judge_quality(
     )
     df = cut(df)
 
-    sums = df.groupBy("q_lang").agg(
-        F.array(*[F.sum(F.col("q_classes")[i]) for i in range(len(CLASSES) + 1)]).alias("r_classes"),
-        F.array(*[F.sum(F.col("q_counts")[i]) for i in range(len(words) + 1)]).alias("r_counts"),
-    )
-    # at most max_langs + 1 rows
-    df = df.join(F.broadcast(sums), "q_lang", "left")
-    df = barrier(
-        df,
-        class_distance=F.when(F.col("word_chars") >= min_chars, divergence(F.col("q_classes"), F.col("r_classes"))),
-        word_distance=F.when(F.col("n_words") >= min_common_words, divergence(F.col("q_counts"), F.col("r_counts"))),
-    )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    far = F.coalesce(F.col("class_distance") > max_class_distance, F.lit(False)) | F.coalesce(F.col("word_distance") > max_word_distance, F.lit(False))
+    near, judged = ~failed, df
+    for _ in range(2):
+        sums = judged.where(near).groupBy("q_lang").agg(
+            F.array(*[F.sum(F.col("q_classes")[i]) for i in range(len(CLASSES) + 1)]).alias("r_classes"),
+            F.array(*[F.sum(F.col("q_counts")[i]) for i in range(len(words) + 1)]).alias("r_counts"),
+        )
+        # at most max_langs + 1 rows
+        judged = barrier(
+            df.join(F.broadcast(sums), "q_lang", "left"),
+            class_distance=F.when(F.col("word_chars") >= min_chars, divergence(F.col("q_classes"), F.col("r_classes"))),
+            word_distance=F.when(F.col("n_words") >= min_common_words, divergence(F.col("q_counts"), F.col("r_counts"))),
+        )
+        far = F.coalesce(F.col("class_distance") > class_limit[0] + class_limit[1] / F.sqrt("word_chars"), F.lit(False))
+        far = far | F.coalesce(F.col("word_distance") > word_limit[0] + word_limit[1] / F.sqrt("n_words"), F.lit(False))
+        near = ~failed & ~far
+    df = judged
     return df.select(
         *[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)],
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), "class_distance", "word_distance", (~failed & ~far).alias("kept"),
+        failed.alias("base_failed"), "class_distance", "word_distance", near.alias("kept"),
     )

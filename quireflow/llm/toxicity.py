@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quality import barrier, words_of
+
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 PREFIXES = (4, 5, 6)
@@ -120,15 +122,36 @@ def log_odds(toxic: int, n: int, all_toxic: int, total: int) -> float:
     return math.log((toxic + 0.5) / (all_toxic + 1)) - math.log((n - toxic + 0.5) / (total - all_toxic + 1))
 
 
+def by_chance(toxic: int, n: int, rate: float) -> float:
+    """A bound of the log-probability of so many toxic ones of n at that rate (Chernoff)."""
+    share = toxic / n
+    if share <= rate:
+        return 0.0
+    rest = (1 - share) * math.log((1 - share) / (1 - rate)) if share < 1 else 0.0
+    return -n * (share * math.log(share / rate) + rest)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, text_col: str, id_col: str, label_col: str, max_labelled: int) -> DataFrame:
-    """text, toxic of the bounded sample, distinct; the ids are at most max_labelled, so they are broadcast."""
+    """text, toxic of the bounded sample; the ids are at most max_labelled, so they are broadcast.
+
+    Near copies of one text would pass its words off as common to many: of texts with the same least or the same
+    greatest hash of a five-word shingle one stays.
+    """
     ids = labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg(F.max(F.col(label_col)).alias("toxic"))
     ids = ids.orderBy(F.xxhash64("l_id"), "l_id").limit(max_labelled)
-    return docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(ids), F.col("d_id") == F.col("l_id")).select("text", "toxic")
+    rows = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(ids), F.col("d_id") == F.col("l_id")).select("text", "toxic")
+    rows = barrier(rows, t_words=words_of(F.lower("text")))
+    n = F.size("t_words")
+    runs = F.when(n >= 5, F.transform(F.sequence(F.lit(1), n - 4), lambda i: F.xxhash64(F.slice("t_words", i, 5)))).otherwise(F.array(F.xxhash64("t_words")))
+    rows = barrier(rows, t_runs=runs).select("text", "toxic", F.array_min("t_runs").alias("least"), F.array_max("t_runs").alias("most"))
+    return rows.dropDuplicates(["least"]).dropDuplicates(["most"]).select("text", "toxic")
+
 
+def learn_grammar(sample: DataFrame, min_share: float = 0.005, min_docs: int = 4, min_purity: float = 0.95, max_chance: float = 1e-5, max_lexicon: int = 4000) -> Grammar:
+    """Lexicon and pattern weights from text, toxic; only counts leave the executors.
 
-def learn_grammar(sample: DataFrame, min_share: float = 0.005, min_docs: int = 4, min_purity: float = 0.85, max_lexicon: int = 4000) -> Grammar:
-    """Lexicon, pattern weights and decision point from text, toxic; only counts and matched patterns leave the executors."""
+    max_chance: a word or prefix is taken if so many toxic documents had it by chance with at most this probability.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,9 +169,16 @@ def learn_grammar(sample: DataFrame, min_share: float = 0.005, min_docs: int = 4
     found = {r["feature"]: (r["n"], r["toxic"]) for r in counts.orderBy((F.col("feature") != "rows"), F.desc("toxic"), "feature").limit(max_lexicon + 1).collect()}
     total, all_toxic = found.pop("rows", (0, 0))
     need = max(min_docs, min_share * all_toxic)
-    scaled = {f: min(2.0, log_odds(t, n, all_toxic, total) / 4) for f, (n, t) in found.items() if t >= need}
+    rate = all_toxic / max(1, total)
+    scaled = {f: min(2.0, log_odds(t, n, all_toxic, total) / 4) for f, (n, t) in found.items() if t >= need and by_chance(t, n, rate) <= math.log(max_chance)}
     prefixes = {f[1:]: s for f, s in scaled.items() if f[0] == "^"}
-    prefixes = {p: s for p, s in prefixes.items() if not any(p[:k] in prefixes for k in PREFIXES if k < len(p))}
+    # a prefix must bring more than its most frequent word does, and more than a shorter one
+    most = Counter()
+    for f, (_, t) in found.items():
+        if f[0] == "=":
+            for k in PREFIXES:
+                most[f[1 : k + 1]] = max(most[f[1 : k + 1]], t)
+    prefixes = {p: s for p, s in prefixes.items() if found["^" + p][1] >= 1.5 * most[p] and not any(p[:k] in prefixes for k in PREFIXES if k < len(p))}
     words = {f[1:]: s for f, s in scaled.items() if f[0] == "="}
     grammar = Grammar(words, prefixes, dict(PATTERNS), 1.0)
     if not all_toxic or all_toxic == total:
