@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, packing, quality, secrets, simhash_bk, toxicity, url_cascade, wrapper
+from . import chat, decontam, langid, packing, quality, secrets, simhash_bk, sql, toxicity, url_cascade, wrapper
 from .common import table
 
 
@@ -85,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
