@@ -67,7 +67,7 @@ def chunk_words(array: Column, size: int) -> Column:
 def split_sentences(c: Column | str, fallback_words: int = 80) -> Column:
     """Splits after . ! ? before a capital, digit or parenthesis; unpunctuated text of over twice ``fallback_words`` becomes tiles of so many words."""
     whole = squeeze(c)
-    pieces = F.filter(F.transform(F.split(whole, r"(?<=[.!?])\s+(?=[A-Z0-9(])"), F.trim), lambda p: p != "")
+    pieces = F.filter(F.transform(F.split(whole, r"(?<=[.!?])\s+(?=[A-Z0-9(])"), lambda x: F.trim(x)), lambda p: p != "")
     parts = F.filter(F.split(whole, " "), lambda w: w != "")
     tiles = F.filter(F.split(F.regexp_replace(whole, rf"((?:[^ ]+ ){{{fallback_words - 1}}}[^ ]+) ", "$1\u0001"), "\u0001"), lambda p: p != "")
     return F.when((F.size(pieces) <= 1) & (F.size(parts) > 2 * fallback_words), tiles).otherwise(pieces)
@@ -75,7 +75,7 @@ def split_sentences(c: Column | str, fallback_words: int = 80) -> Column:
 
 def split_sentences_browser(c: Column | str) -> Column:
     """The stricter variant: only capitals start a sentence, and pieces of up to 15 characters go."""
-    return F.filter(F.transform(F.split(squeeze(c), r"(?<=[.?!])\s+(?=[A-Z])"), F.trim), lambda p: F.length(p) > 15)
+    return F.filter(F.transform(F.split(squeeze(c), r"(?<=[.?!])\s+(?=[A-Z])"), lambda x: F.trim(x)), lambda p: F.length(p) > 15)
 
 
 def clean_lines(c: Column | str) -> Column:
@@ -120,7 +120,7 @@ def keyphrase_list(c: Column | str) -> Column:
     """Phrases between semicolons or else bars, trimmed."""
     x = col(c)
     parts = F.when(F.instr(x, ";") > 0, F.split(x, ";")).when(F.instr(x, "|") > 0, F.split(x, r"\|")).otherwise(F.array(x))
-    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda p: p != "")
 
 
 def first_present(*cs: Column | str) -> Column:

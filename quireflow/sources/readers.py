@@ -69,7 +69,7 @@ def section_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """
     r = strings_csv(spark, path, SECTION_COLUMNS).withColumn("term_id", F.monotonically_increasing_id())
     generic = as_bool("is_generic")
-    lists = F.concat(*[F.transform(F.split(c, ";"), F.trim) for c in ("matched_surface_terms", "search_terms")])
+    lists = F.concat(*[F.transform(F.split(c, ";"), lambda x: F.trim(x)) for c in ("matched_surface_terms", "search_terms")])
     canonical = first_present("canonical_term", "display_term", "term", "normalized_term")
     spellings = F.filter(F.array_distinct(F.concat(F.array(canonical, *[F.trim(c) for c in ("display_term", "term", "normalized_term", "canonical_term")]), lists)), lambda a: a.isNotNull() & (a != ""))
     ordered = F.transform(F.array_sort(F.transform(spellings, lambda a: F.struct((-F.size(F.split(a, r"\s+"))).alias("w"), (-F.length(a)).alias("n"), a.alias("a")))), lambda x: x["a"])
@@ -106,7 +106,7 @@ def parse_labelled_lines(contents: DataFrame, source: str = "pubmed_rct") -> Dat
     """
     parts = F.filter(F.split("value", r"(?m)^\s*(?=###)"), lambda p: F.ltrim(p).startswith("###"))
     doc = contents.select(F.explode(parts).alias("p")).select(F.trim(F.regexp_extract("p", r"^\s*#+([^\n]*)", 1)).alias("doc_id"), F.split("p", "\n").alias("l"))
-    lines = F.filter(F.transform("l", F.trim), lambda x: ~x.startswith("###") & (F.instr(x, "\t") > 0))
+    lines = F.filter(F.transform("l", lambda x: F.trim(x)), lambda x: ~x.startswith("###") & (F.instr(x, "\t") > 0))
     rows = doc.select("doc_id", F.posexplode(lines).alias("sentence_index", "x")).withColumn("label", F.upper(F.substring_index("x", "\t", 1)))
     section, role = ({k: v[i] for k, v in rules.PUBMED_LABELS.items()} for i in (0, 1))
     return rows.select(
@@ -128,7 +128,7 @@ def keyphrase_records(raw: DataFrame) -> DataFrame:
     phrases = F.array().cast("array<string>") if name is None else F.col(name) if kinds[name].startswith("array") else keyphrase_list(name)
     return raw.select(
         F.coalesce(text("doc_id", "id", "paper_id"), F.lit("")).alias("doc_id"), F.coalesce(text("title", "name"), F.lit("")).alias("title"), F.coalesce(text("abstract", "summary"), F.lit("")).alias("abstract"),
-        F.coalesce(text("full_text", "text", "body"), F.lit("")).alias("full_text"), F.filter(F.transform(phrases, F.trim), lambda p: p != "").alias("keyphrases"),
+        F.coalesce(text("full_text", "text", "body"), F.lit("")).alias("full_text"), F.filter(F.transform(phrases, lambda x: F.trim(x)), lambda p: p != "").alias("keyphrases"),
     )
 
 
@@ -161,7 +161,7 @@ def html_documents(pages: DataFrame) -> DataFrame:
 def report_summary(reports: DataFrame, titles: list[str], text_col: str = "text") -> DataFrame:
     """Adds parts: the blocks under the ### headings of those titles in a Markdown report, by title."""
     quoted = [(t, rf"(?s)###\s*{t}\s*\n(.*?)(?=\n###|\z)") for t in titles]
-    return reports.withColumn("parts", F.map_from_arrays(F.array(*[F.lit(t) for t in titles]), F.array(*[F.trim(F.regexp_extract(text_col, p, 1)) for _, p in quoted])))
+    return reports.withColumn("parts", F.map_from_arrays(F.array(*[F.lit(t) for t in titles]), F.array(*[F.btrim(F.regexp_extract(text_col, p, 1), F.lit(" \t\r\n")) for _, p in quoted])))
 
 
 def named(df: DataFrame, column: str) -> DataFrame:
