@@ -396,3 +396,68 @@ def inference_windows(spark, sf_dir):
 @query(f"""SELECT page_id, {Q.squeeze(r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')")} AS text FROM pages""")
 def html_text(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", T.html_text("html").alias("text"))
+
+
+@query(f"""WITH {Q.LEX}, {Q.SENT}, g AS (SELECT doc_id, section, unnest({Q.grams('w', 2)}) AS term FROM (SELECT *, {Q.toks(Q.norm('text'))} AS w FROM sent)), c AS (SELECT doc_id, section, term, count(*) AS frequency FROM g SEMI JOIN lex ON lex.alias = g.term GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM documents), d AS (SELECT term, count(DISTINCT doc_id) AS df FROM c GROUP BY term), m AS (SELECT doc_id, section, term, frequency, frequency * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS tfidf FROM c JOIN d USING (term) CROSS JOIN n),
+s AS (SELECT doc_id, max(frequency) AS mf, max(tfidf) AS mt FROM m GROUP BY doc_id), p AS (SELECT DISTINCT doc_id, section, array_to_string({Q.toks(Q.norm('text'))}[1:3], ' ') AS phrase FROM sent),
+k AS (SELECT p.doc_id, p.section, phrase, m.term, frequency, tfidf, list_distinct(string_split(phrase, ' ')) AS t, list_distinct(string_split(m.term, ' ')) AS a FROM p JOIN m ON p.doc_id = m.doc_id AND p.section = m.section WHERE phrase <> '' AND list_has_any(string_split(phrase, ' '), string_split(m.term, ' '))),
+q AS (SELECT *, CASE WHEN phrase = term THEN 1.0 WHEN len(a) >= 2 AND len(list_intersect(a, t)) = len(a) THEN 0.84 WHEN len(t) >= 2 AND len(list_intersect(a, t)) = len(t) THEN 0.78
+  WHEN len(list_intersect(a, t)) / len(list_distinct(list_concat(a, t))) >= 0.72 THEN len(list_intersect(a, t)) / len(list_distinct(list_concat(a, t))) ELSE 0.0 END AS quality FROM k),
+r AS (SELECT q.*, least(1.0, greatest(0.0, tfidf / mt)) AS tfidf_support, row_number() OVER (PARTITION BY q.doc_id, section, phrase ORDER BY quality + 0.15 * least(1.0, greatest(0.0, tfidf / mt)) + 0.05 * least(1.0, greatest(0.0, frequency / mf)) DESC, term) AS x FROM q JOIN s USING (doc_id) WHERE quality > 0)
+SELECT doc_id, section, phrase, term, quality, frequency, round(tfidf_support, 9) AS tfidf_support FROM r WHERE x = 1""")
+def tfidf_feature_match(spark, sf_dir):
+    from ..operators import features, stats
+
+    s = sents(spark, sf_dir)
+    m = stats.term_matrix(s, bench_terms(spark, sf_dir), load(spark, sf_dir, "documents").count())
+    p = s.select("doc_id", "section", F.array_join(F.slice(T.tokens("text"), 1, 3), " ").alias("phrase"))
+    return features.match_features(p, m, stats.matrix_summary(m)).drop("tfidf").withColumn("tfidf_support", F.round("tfidf_support", 9))
+
+
+@query()
+def enrich_units(spark, sf_dir):
+    """Kept units with lexicon, matrix, cue and external evidence."""
+    from ..operators import features, stats
+    from ..operators import lexicon as L
+
+    s, lex = sents(spark, sf_dir), bench_terms(spark, sf_dir)
+    u = gated(spark, sf_dir).where("status = 'kept'").select("doc_id", "phrase", "section", "role", "sentence_index", "unit_importance", "final_rank")
+    m = stats.term_matrix(s, lex, load(spark, sf_dir, "documents").count())
+    cues = lex.where("df >= 2").select(F.col("alias").alias("cue_phrase"), F.lit("claim").alias("evidence_type"), F.lit("").alias("role_prior"), F.col("section").alias("section_hint"))
+    first = L.cue_hits(s, cues, ["doc_id", "sentence_index"], limit=1)
+    near = L.nearest_by_overlap(s, load(spark, sf_dir, "benchmark").select("item_id", "text"), ["doc_id", "sentence_index"], "item_id")
+    e = features.enrich_units(u, L.match_terms(u.select("phrase", "section"), lex), features.match_features(u, m, stats.matrix_summary(m)), first, near)
+    return e.select("doc_id", "final_rank", "phrase", "bow.canonical_term", "bow.bow_support", F.col("matrix.tfidf_support").alias("tfidf_support"), "cue.cue_phrase", "external.item_id", "support_type")
+
+
+@query()
+def section_summaries(spark, sf_dir):
+    from ..operators import cards
+
+    u = gated(spark, sf_dir).where("status = 'kept'")
+    return cards.section_summaries(u, N.section_notes(predictions(spark, sf_dir), good=GOOD, bad=BAD, noise=NOISE))
+
+
+@query()
+def focus_terms(spark, sf_dir):
+    from ..operators import cards
+
+    return cards.focus_terms(N.section_notes(predictions(spark, sf_dir), good=GOOD, bad=BAD, noise=NOISE), special=["tion", "heit"])
+
+
+@query()
+def chat_prompts(spark, sf_dir):
+    from ..operators import cards
+
+    q = docs(spark, sf_dir).select("doc_id", F.lit("What does it say?").alias("question"))
+    return cards.chat_prompt(gated(spark, sf_dir).where("status = 'kept'"), N.section_notes(predictions(spark, sf_dir), good=GOOD, bad=BAD, noise=NOISE), q)
+
+
+@query()
+def structure_metrics(spark, sf_dir):
+    """Rule predictions against labels made from the text's length, to exercise every metric."""
+    p = predictions(spark, sf_dir).withColumn("n", F.length("text"))
+    gold = p.withColumns({"role_gold": F.when(F.col("n") % 3 == 0, F.lit("objective")), "evidence_label": (F.col("n") % 2).cast("double"), "importance_label": (F.col("n") % 10) / 10})
+    allowed = F.coalesce(*[F.when(F.col("section") == s, F.array(*map(F.lit, r))) for s, r in rules.SECTION_ROLES.items()])
+    return M.structure_metrics(gold.withColumn("candidates", allowed))

@@ -219,6 +219,6 @@ def external_overlap(spark, sf_dir):
 
 @query(f"""WITH {Q.LEX}, {Q.SENT}, g AS (SELECT doc_id, section, unnest({Q.grams('w', 2)}) AS term FROM (SELECT *, {Q.toks(Q.norm('text'))} AS w FROM sent)),
 c AS (SELECT doc_id, section, term, count(*) AS frequency FROM g SEMI JOIN lex ON lex.alias = g.term GROUP BY ALL), n AS (SELECT count(*) AS n FROM documents),
-d AS (SELECT term, count(DISTINCT doc_id) AS df FROM c GROUP BY term) SELECT doc_id, section, term, frequency, frequency * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS tfidf FROM c JOIN d USING (term) CROSS JOIN n""")
+d AS (SELECT term, count(DISTINCT doc_id) AS df FROM c GROUP BY term) SELECT doc_id, section, term, frequency, round(frequency * (ln((1.0 + n) / (1.0 + df)) + 1.0), 9) AS tfidf FROM c JOIN d USING (term) CROSS JOIN n""")
 def doc_section_tfidf(spark, sf_dir):
-    return stats.term_matrix(sents(spark, sf_dir), bench_terms(spark, sf_dir), load(spark, sf_dir, "documents").count())
+    return stats.term_matrix(sents(spark, sf_dir), bench_terms(spark, sf_dir), load(spark, sf_dir, "documents").count()).withColumn("tfidf", F.round("tfidf", 9))

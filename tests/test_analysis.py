@@ -286,3 +286,38 @@ def test_registered_queries_and_their_sql_agree(spark):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 58
     assert entry.entry(spark).count() > 0
+
+
+def test_cards(spark):
+    from quireflow.operators import cards
+
+    d = spark.createDataFrame([(" ".join(f"w{i:02d}x" for i in range(60)) + " deep net end", ["deep net"]), ("1 x2 b " + " ".join(["word"] * 40), [""]), ("a b", []), ("z " * 20 + "we propose it " + "y " * 40, [])], "s string, f array<string>")
+    got = [r[0] for r in d.select(cards.excerpt(F.col("s"), F.col("f"))).collect()]
+    assert got[0].startswith("... w33x") and got[0].endswith("net end") and got[1] == "... " + " ".join(["word"] * 30) + " ..." and got[2] == "a b"
+    assert got[3].startswith("... z z we propose it y") and len(got[3].split()) == 32
+    n = spark.createDataFrame([(1, "method", ["A sparse-attention encoder helps", "sparse-attention encoder again"])], "doc_id long, section string, notes array<string>")
+    f = {r["term"]: r["weight"] for r in cards.focus_terms(n, ["helps"]).collect()}
+    assert f["sparse-attention encoder"] == 8 and f["helps"] == 8
+    s = {r["section"]: r["summary"] for r in cards.section_summaries(unit_table(spark), n).collect()}
+    assert s["intro"].startswith("The paper starts from a b") and "Mostly problem." in s["intro"] and "sparse-attention" in s["method"]
+    p = cards.chat_prompt(unit_table(spark), n, spark.createDataFrame([(1, "Why?")], "doc_id long, question string")).first()["prompt"]
+    assert "Question: Why?" in p and p.index("[intro]") < p.index("[method]") and "- a b (problem): s0" in p and "note: A sparse" in p
+    r = spark.createDataFrame([(1, ["u"]), (2, []), (3, []), (None, [])], "doc_id long, evidence_units array<string>")
+    assert {x["doc_id"]: x["plan"] for x in cards.route_requests(r, spark.createDataFrame([(2,)], "doc_id long")).collect()} == {1: "evidence", 2: "vector", 3: "not_found", None: "invalid"}
+    assert spark.range(1).select(cards.highlighted(F.lit("a<b Deep net"), ["deep", "deep net"])).first()[0] == "a&lt;b <mark>Deep net</mark>"
+
+
+def test_features(spark):
+    from quireflow.operators import features
+
+    assert features.word_pieces("Unaffable, x!", {"un", "##aff", "##able", ",", "x"}) == ["un", "##aff", "##able", ",", "x", "[UNK]"]
+    u = spark.createDataFrame([(1, "intro", "deep graph net"), (1, "method", "deep net")], "doc_id long, section string, phrase string")
+    m = spark.createDataFrame([(1, "intro", "graph net", 4, 1.0), (1, "intro", "deep graph", 1, 2.0), (1, "method", "other", 1, 1.0)], "doc_id long, section string, term string, frequency long, tfidf double")
+    s = stats.matrix_summary(m)
+    assert [(r["term"], r["tfidf_support"]) for r in features.match_features(u, m, s).collect()] == [("deep graph", 1.0)]
+    assert features.match_features(u, m, s, "tfidf").first()["term"] == "deep graph" and features.matrix_report(m).first()["features"] == 3
+    t = spark.createDataFrame([(1, 0, "intro", "graph net and graph net")], "doc_id long, sentence_index int, section string, text string")
+    x = features.on_the_fly_tfidf(t, spark.createDataFrame([("graph net", "intro", 2.0), ("graph net", "method", 9.0)], "term string, section string, idf double"))
+    assert [(r["term"], r["tfidf"]) for r in x.collect()] == [("graph net", 2.0)]
+    d = features.tokenize_pieces(spark.createDataFrame([("ab",)], "text string"), ["a", "##b"]).first()["pieces"]
+    assert d == ["a", "##b"]
