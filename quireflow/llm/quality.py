@@ -30,7 +30,7 @@ CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "stop": r
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, f"[{WS}]+"), lambda w: w != "")
+    return F.array_remove(F.split(text, f"[{WS}]+"), "")
 
 
 def barrier(df: DataFrame, **columns: Column) -> DataFrame:
@@ -39,10 +39,14 @@ def barrier(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def repeat_words(df: DataFrame) -> DataFrame:
-    """Adds q_repeat: positions of q_words in windows of five words that occur twice or more in the document."""
-    n = F.size("q_words")
-    hashes = F.when(n > 5, F.transform(F.sequence(F.lit(1), n - 4), lambda i: F.xxhash64(F.slice(F.col("q_words"), i, 5)))).otherwise(F.array().cast("array<bigint>"))
-    df = barrier(df, q_hash=hashes)
+    """Adds q_repeat: positions of words in windows of five words that occur twice or more in the document.
+
+    q_word_hash has the words' hashes, so that words are hashed once; a window's hash is of its words' hashes.
+    """
+    n = F.size("q_word_hash")
+    window = lambda i: F.xxhash64(*[F.get(F.col("q_word_hash"), i + k) for k in range(5)])
+    hashes = F.when(n > 5, F.transform(F.sequence(F.lit(0), n - 5), window)).otherwise(F.array().cast("array<bigint>"))
+    df = barrier(df, q_hash=hashes).drop("q_word_hash")
     again = F.size(F.array_distinct("q_hash")) < F.size("q_hash")
     keyed = F.when(again, F.array_sort(F.transform("q_hash", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.lit(None))
     df = barrier(df, q_keyed=keyed).drop("q_hash")
@@ -58,9 +62,21 @@ def repeat_words(df: DataFrame) -> DataFrame:
     return df.withColumn("q_repeat", F.coalesce(F.when(F.size("q_starts") > 0, steps), F.lit(0)).cast("bigint")).drop("q_starts")
 
 
-def class_counts(text: Column) -> Column:
-    """Characters of each class, white space left out; the last is the rest."""
-    return F.array(*[(F.length(text) - F.length(F.regexp_replace(text, p, ""))).cast("bigint") for p in CLASSES.values()])
+def class_counts(df: DataFrame, chars: str) -> DataFrame:
+    """Replaces a column without white space by q_classes, characters of each class and the rest, and n_symbols.
+
+    Each class is taken out of what the ones before it left, so only the first reads all characters.
+    """
+    first, *others = CLASSES.values()
+    df = barrier(df, q_chars=F.length(chars).cast("bigint"), q_left=F.regexp_replace(F.col(chars), f"{first}+", "")).drop(chars)
+    left = F.col("q_left")
+    counts = [F.col("q_chars") - F.length(left)]
+    for p in others:
+        rest = F.regexp_replace(left, f"{p}+", "")
+        counts.append((F.length(left) - F.length(rest)).cast("bigint"))
+        left = rest
+    symbols = (F.length("q_left") - F.length(F.translate("q_left", SYMBOLS, ""))).cast("bigint")
+    return df.withColumns({"q_classes": F.array(*counts, F.length(left).cast("bigint")), "n_symbols": symbols}).drop("q_left")
 
 
 def js(p: Column, q: Column) -> Column:
@@ -70,11 +86,14 @@ def js(p: Column, q: Column) -> Column:
     return (part(p) + part(q)) / 2
 
 
-def divergence(counts: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance (0 to 1) of two arrays of counts over the same bins; 0 if either is all zero."""
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    bins = F.zip_with(counts, reference, lambda a, b: js(a / total(counts), b / total(reference)))
-    return F.when((total(counts) > 0) & (total(reference) > 0), F.sqrt(F.greatest(F.lit(0.0), total(bins)))).otherwise(F.lit(0.0))
+def total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0.0), lambda s, x: s + x)
+
+
+def divergence(counts: str, reference: str, n: str, of: str) -> Column:
+    """Jensen-Shannon distance (0 to 1) of two columns with counts over the same bins and with totals n and of; 0 if either total is."""
+    bins = F.zip_with(counts, reference, lambda a, b: js(a / F.col(n), b / F.col(of)))
+    return F.when((F.col(n) > 0) & (F.col(of) > 0), F.sqrt(F.greatest(F.lit(0.0), total(bins)))).otherwise(F.lit(0.0))
 
 
 def common_words(docs: DataFrame, text_col: str, top_words: int, max_word_chars: int, max_langs: int) -> dict[str, list[str]]:
@@ -115,30 +134,30 @@ def judge_quality(
     known = F.when(F.col("lang").isin(langs), F.col("lang")).otherwise(F.lit(OTHER)) if langs else F.lit(OTHER)
     words = sorted({w for x in vocabulary.values() for w in x})
 
+    # all that reads the words or the text does so in one step: what later steps carry is copied with each
     df = barrier(src.withColumn("q_lang", known), q_words=words_of(F.col("text")))
-    with_word = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\f\r", "")) > 0)
+    short = F.filter("q_words", lambda w: F.length(w) <= max_word_chars)
     df = barrier(
         df,
-        q_chars=F.length(F.array_join("q_words", "")).cast("bigint"),
-        n_symbols=(F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("bigint"),
-        q_lines=with_word,
-        q_classes=class_counts(F.col("text")),
-    )
-    df = df.withColumn("n_dup_lines", (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("bigint")).drop("q_lines", "text")
-    df = repeat_words(df)
-    common = F.filter(F.transform("q_words", F.lower), lambda w: w.isin(words)) if words else F.array().cast("array<string>")
-    df = barrier(df, q_common=common)
+        q_n=F.size("q_words").cast("bigint"),
+        q_joined=F.array_join("q_words", ""),
+        q_word_hash=F.transform("q_words", lambda w: F.xxhash64(w)),
+        q_common=F.filter(F.transform(short, F.lower), lambda w: w.isin(words)) if words else F.array().cast("array<string>"),
+        q_lines=F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{WS}]")),
+    ).drop("q_words", "text")
+    df = df.withColumn("n_dup_lines", (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("bigint")).drop("q_lines")
+    df = repeat_words(class_counts(df, "q_joined"))
     counted = [(F.size("q_common") - F.size(F.array_remove("q_common", w))).cast("bigint") for w in words]
     df = df.select(
         *[f"k_{i}" for i in range(len(keep))],
         "q_lang",
-        F.size("q_words").cast("bigint").alias("n_words"),
+        F.col("q_n").alias("n_words"),
         F.col("q_chars").alias("word_chars"),
         "n_symbols",
         "n_dup_lines",
         F.col("q_repeat").alias("n_repeat_words"),
-        F.concat("q_classes", F.array(F.greatest(F.lit(0).cast("bigint"), F.col("q_chars") - F.aggregate("q_classes", F.lit(0).cast("bigint"), lambda s, x: s + x)))).alias("q_classes"),
-        F.array(*counted, (F.size("q_words") - F.size("q_common")).cast("bigint")).alias("q_counts"),
+        "q_classes",
+        F.array(*counted, F.col("q_n") - F.size("q_common")).alias("q_counts"),
     )
     df = cut(df)
 
@@ -150,10 +169,11 @@ def judge_quality(
             F.array(*[F.sum(F.col("q_counts")[i]) for i in range(len(words) + 1)]).alias("r_counts"),
         )
         # at most max_langs + 1 rows
+        sums = barrier(sums, r_chars=total(F.col("r_classes")), r_words=total(F.col("r_counts")))
         judged = barrier(
             df.join(F.broadcast(sums), "q_lang", "left"),
-            class_distance=F.when(F.col("word_chars") >= min_chars, divergence(F.col("q_classes"), F.col("r_classes"))),
-            word_distance=F.when(F.col("n_words") >= min_common_words, divergence(F.col("q_counts"), F.col("r_counts"))),
+            class_distance=F.when(F.col("word_chars") >= min_chars, divergence("q_classes", "r_classes", "word_chars", "r_chars")),
+            word_distance=F.when(F.col("n_words") >= min_common_words, divergence("q_counts", "r_counts", "n_words", "r_words")),
         )
         far = F.coalesce(F.col("class_distance") > class_limit[0] + class_limit[1] / F.sqrt("word_chars"), F.lit(False))
         far = far | F.coalesce(F.col("word_distance") > word_limit[0] + word_limit[1] / F.sqrt("n_words"), F.lit(False))
