@@ -52,7 +52,8 @@ def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge_quality(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    judged = quality.judge_quality(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op8_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
