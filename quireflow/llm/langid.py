@@ -6,9 +6,9 @@ a symbol, and the language of the fewest wins. As a parse restarts at the automa
 automaton turns into a complete table that also counts phrases, so that many blocks of text step through it at
 once; a parse restarts every ``block`` symbols.
 
-The automata are fitted on a bounded sample: of each of the ``max_langs`` most frequent languages the
-``docs_per_lang`` labelled documents with the lowest hash of doc_id, ``doc_chars`` characters of each, and at
-most ``train_chars`` in all. Prediction covers whole texts of all rows, in one pass without a shuffle.
+The automata are fitted on a bounded sample: of each of the ``max_langs`` most frequent languages about
+``docs_per_lang`` labelled documents, those with the lowest hashes of doc_id, ``doc_chars`` characters of each, and
+at most ``train_chars`` in all. Prediction covers whole texts of all rows, in one pass without a shuffle.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; a null language is never learned; with
 nothing to learn from every text is ``und``; a null doc_id isn't held out and is never learned from; repeated rows
@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import worker_cache
 
@@ -157,14 +156,14 @@ class Model:
 def training_texts(docs: DataFrame, learn: Column, text_col: str, lang_col: str, id_col: str, docs_per_lang: int, doc_chars: int, train_chars: int, max_langs: int) -> dict[str, str]:
     """The bounded sample, as one text for each language."""
     rows = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
-    langs = [r[0] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()]
-    if not langs:
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    if not counts:
         return {}
-    ranked = rows.where(F.col("lang").isin(langs)).select("lang", "h").distinct().withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h")))
-    last = ranked.where(F.col("rank") <= docs_per_lang).groupBy("lang").agg(F.max("h").alias("h")).collect()
-    picked = F.lit(False)
-    for r in last:
-        picked = picked | ((F.col("lang") == r["lang"]) & (F.col("h") <= r["h"]))
+    langs, picked = [r["lang"] for r in counts], F.lit(False)
+    for r in counts:
+        # hashes are even, so this bound lets about docs_per_lang rows through, wherever they are
+        bound = (1 << 63) - 1 if r["n"] <= docs_per_lang else int(docs_per_lang / r["n"] * (1 << 64)) - (1 << 63)
+        picked = picked | ((F.col("lang") == r["lang"]) & (F.col("h") <= bound))
     sample = rows.where(picked & F.col("text").isNotNull()).select("lang", "h", F.substring("text", 1, doc_chars).alias("text")).distinct().limit(len(langs) * docs_per_lang * 2).collect()
     out: dict[str, str] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["h"], r["text"])):
