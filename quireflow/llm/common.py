@@ -53,20 +53,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Returns (node, root), root the smallest node of the component, for every node of an edge between two
     different nodes. Each step takes a minimum per node (combined before the shuffle) and joins it back to the
-    edges, so a node with very many neighbours is a skewed join key, which adaptive execution splits; no
-    component is ever gathered in one task or on the driver. Each round is checkpointed.
+    edges: by broadcast if the minima were counted and are few, else by a join of plain shuffles, whose skewed keys,
+    nodes with very many neighbours, adaptive execution splits. No component is ever gathered in one task or on
+    the driver. Each round is checkpointed.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = cut(pairs)
     mark = None
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = both.where("v > u").join(maybe_broadcast(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.where("u <> v").distinct())
         # every node points downwards here: small-star links all lower neighbours to the lowest
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        low2 = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(maybe_broadcast(low2), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         pairs = cut(small.where("u <> v").distinct())
         got = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == got:

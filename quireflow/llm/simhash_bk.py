@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, maybe_broadcast
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -53,12 +53,31 @@ def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def vocabulary_print(text: str | None, seed: int = 42, least_chars: int = 4, least_words: int = 8) -> int:
+    """The SimHash of a text's distinct words of four characters or more, of all its words if it has few of those.
+
+    Changing one word changes one of its features but five of its shingles: where a fifth of two texts' five-word
+    shingles differ, shingle prints are about 10 bits apart and these about 4.
+    """
+    from xxhash import xxh64_intdigest
+
+    every = set(WORD.findall((text or "").translate(LOWER)))
+    long = {w for w in every if len(w) >= least_chars}
+    chosen = long if len(long) >= least_words else every
+    if not chosen:
+        return 0
+    h = np.fromiter((xxh64_intdigest(w, seed) for w in chosen), dtype=np.uint64, count=len(chosen))
+    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 4, seed: int = 42, features: str = "shingles") -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) of shingles or of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(x.as_py(), size, seed) for x in batch.column(1)], dtype=np.uint64)
+            of = (lambda t: vocabulary_print(t, seed)) if features == "vocabulary" else lambda t: fingerprint(t, size, seed)
+            fp = np.array([of(x.as_py()) for x in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
@@ -180,9 +199,9 @@ def link_fingerprints(distinct: DataFrame, n: int, radius: int = 4, shard_limit:
     return dealt.select("block", "value", "i", "j", "fp").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 4, radius: int = 4, shard_limit: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 4, radius: int = 4, shard_limit: int = 4096, features: str = "shingles") -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id that links reach from the row's fingerprint."""
-    prints = cut(fingerprints(docs, text_col, id_col, size))
+    prints = cut(fingerprints(docs, text_col, id_col, size, features=features))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     distinct = cut(distinct)
     n = distinct.count()
@@ -191,7 +210,10 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     if roots is None:
         first = distinct.select("fp", F.col("first").alias("component_id"))
     else:
-        rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-        low = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-        first = rooted.join(low, "root").select("fp", "component_id")
+        # most fingerprints have no links; only those that do are dealt out by their root
+        roots = cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
+        linked = cut(distinct.join(maybe_broadcast(roots), distinct.fp == roots.node).select("fp", "first", "root"))
+        low = cut(linked.groupBy("root").agg(F.min("first").alias("component_id")))
+        named = linked.join(maybe_broadcast(low), "root").select("fp", F.col("component_id").alias("named"))
+        first = distinct.join(maybe_broadcast(cut(named)), "fp", "left").select("fp", F.coalesce("named", "first").alias("component_id"))
     return prints.join(cut(first), "fp").select("doc_id", "fp", "component_id")
