@@ -155,6 +155,16 @@ def brute_print(text, size=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+def brute_vocabulary(text):
+    import xxhash
+
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    every = set(WORD.findall(low))
+    long = {w for w in every if len(w) > 3}
+    hs = [xxhash.xxh64_intdigest(w, 42) for w in (long if len(long) > 7 else every)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
 def brute_components(prints, radius=4):
     root = list(range(len(prints)))
 
@@ -189,6 +199,24 @@ def test_near_duplicates_agree_with_all_pairs(spark, limit):
     assert simhash_bk.near_duplicates(hostile(spark)).count() == len(HOSTILE) and simhash_bk.near_duplicates(empty(spark)).count() == 0
 
 
+def test_vocabulary_prints_catch_what_shingles_of_five_agree_on(spark):
+    random.seed(11)
+    word = lambda: "".join(random.choice("abcdefghijklmn") for _ in range(7))
+    base = [[word() for _ in range(300)] for _ in range(15)]
+    texts, group = [], []
+    for g, w in enumerate(base):
+        texts.append(" ".join(w))
+        group.append(g)
+        for _ in range(3):
+            c = list(w)
+            for _ in range(4):
+                c[random.randrange(300)] = word()
+            texts.append(" ".join(c))
+            group.append(g)
+    got = {r["doc_id"]: r["component_id"] for r in simhash_bk.near_duplicates(documents(spark, texts), radius=7, features="vocabulary").collect()}
+    assert all(got[i] == 4 * g for i, g in enumerate(group))
+
+
 def test_chains_of_prints_are_one_component(spark):
     chain = [(1 << (3 * k)) - 1 for k in range(20)]
     links = simhash_bk.shard_links(chain, 4)
@@ -410,8 +438,8 @@ def test_pipeline_agrees_with_its_stages_by_hand(spark, tmp_path):
     before, after = seen[0]
     assert all(not fails(r[1]) for r in after) and not Counter(after) - Counter(before)
     before, after = seen[1]
-    prints = [brute_print(r[1], 5) for r in before]
-    assert len(after) == len(set(brute_components(prints))) and not Counter(after) - Counter(before)
+    prints = [brute_vocabulary(r[1]) for r in before]
+    assert len(after) == len(set(brute_components(prints, 7))) and not Counter(after) - Counter(before)
     before, after = seen[2]
     items = [WORD.findall(r["text"].lower()) for r in bench.collect()]
     clean = [r for r in before if all(len((a := decontam.shingles(q, 5)) & decontam.shingles(WORD.findall(r[1].lower()), 5)) < 0.8 * len(a) for q in items)]
