@@ -38,7 +38,7 @@ o AS (SELECT * FROM ({opaque}) x WHERE regexp_matches(v, '[0-9]') AND regexp_mat
 a AS (SELECT * FROM b UNION ALL SELECT * FROM o),
 w AS (SELECT v FROM a JOIN d USING (uid) GROUP BY v HAVING count(DISTINCT source) >= {example_owners}),
 m AS (SELECT *, v IN (SELECT v FROM w) AS example FROM a), k AS (SELECT * FROM m WHERE kind <> 'opaque' OR NOT example),
-x AS (SELECT uid, count_if(kind = 'assign') AS n_assign, count_if(kind = 'access') AS n_access, count_if(kind = 'hex') AS n_hex, {joined.format(what=f"CASE WHEN kind <> 'opaque' THEN {text} END")} AS base, {joined.format(what=text)} AS spans, count_if(NOT example) AS n_live, count_if(example) AS n_examples FROM k GROUP BY uid)
+x AS (SELECT uid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, {joined.format(what=f"CASE WHEN kind <> 'opaque' THEN {text} END")} AS base, {joined.format(what=text)} AS spans, count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_examples FROM k GROUP BY uid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples FROM d LEFT JOIN x USING (uid)"""
 
 
@@ -78,10 +78,12 @@ n{name} AS (SELECT uid FROM k{name} JOIN c USING (uid) WHERE NOT failed AND NOT
     return rf"""WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(lang, '?') AS lang, coalesce(text, '') AS t FROM documents), w AS (SELECT *, {WORDS.format(x="t")} AS w FROM d), a AS (SELECT *, array_to_string(w, '') AS j FROM w),
 g AS (SELECT uid, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM w),
 x AS (SELECT uid, i, i - lag(i, 1, -9) OVER (PARTITION BY uid ORDER BY i) AS step FROM (SELECT *, count(*) OVER (PARTITION BY uid, g) AS k FROM g) WHERE k > 1), rep AS (SELECT uid, CAST(sum(least(5, step)) AS BIGINT) AS n_repeat_words FROM x GROUP BY uid),
-l AS (SELECT uid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS l FROM d),
+l AS (SELECT uid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS l FROM d),
 c0 AS (SELECT uid, doc_id, lang, len(w) AS n_words, length(j) AS word_chars, length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, {counted} FROM a JOIN l USING (uid) LEFT JOIN rep USING (uid)),
 c AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS failed FROM c0),
-v AS (SELECT lang, lower(x) AS word, count(*) AS n FROM (SELECT lang, unnest(string_split_regex(lower(t), '[ 	-]+')) AS x FROM d) WHERE length(x) BETWEEN 1 AND {max_word_chars} GROUP BY ALL),
+v AS (SELECT lang, lower(x) AS word, count(*) AS n FROM (SELECT lang, unnest(string_split_regex(lower(t), '[ 	-
+]+')) AS x FROM d) WHERE length(x) BETWEEN 1 AND {max_word_chars} GROUP BY ALL),
 voc AS (SELECT DISTINCT word FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS k FROM v) WHERE k <= {top_words}),
 u AS (SELECT uid, lower(x) AS word FROM (SELECT uid, unnest(w) AS x FROM w) WHERE length(x) <= {max_word_chars}), uw AS (SELECT uid, word, count(*) AS n FROM u SEMI JOIN voc USING (word) GROUP BY ALL), uo AS (SELECT uid, sum(n) AS n FROM uw GROUP BY uid),
 bins AS (SELECT * FROM ({" UNION ALL ".join(listed)} UNION ALL SELECT uid, lang, 'w', word, n, n_words FROM uw JOIN c USING (uid) UNION ALL SELECT uid, lang, 'w', chr(1), n_words - coalesce(n, 0), n_words FROM c LEFT JOIN uo USING (uid)) WHERE n > 0),
