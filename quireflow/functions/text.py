@@ -25,7 +25,7 @@ def normalize(c: Column | str) -> Column:
 
 def normalize_term(c: Column | str) -> Column:
     """As normalize, without the underscore; null is empty and byte order marks vanish."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), "﻿", ""), r"[^a-z0-9+\-]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), "\ufeff", ""), r"[^a-z0-9+\-]+", " "))
 
 
 def normalize_match(c: Column | str) -> Column:
@@ -81,7 +81,7 @@ def split_sentences_browser(c: Column | str) -> Column:
 def clean_lines(c: Column | str) -> Column:
     """Lines at LF, CR or form feed, squeezed, without byte order marks."""
     lines = F.split(F.regexp_replace(F.regexp_replace(col(c), "\r\n", "\n"), "[\r\f]", "\n"), "\n")
-    return F.transform(lines, lambda x: F.regexp_replace(squeeze(x), "^﻿+|﻿+$", ""))
+    return F.transform(lines, lambda x: F.regexp_replace(squeeze(x), "^\ufeff+|\ufeff+$", ""))
 
 
 def normalize_heading(c: Column | str) -> Column:

@@ -34,7 +34,7 @@ def texts(spark: SparkSession, path: str, pattern: str = "*.txt", names: list[st
             raise FileNotFoundError("missing input files: " + "; ".join(sorted(missing)))
     if limit is not None:
         files = files.orderBy("path").limit(limit)
-    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     return files.select(stem(F.col("path")).alias("doc_id"), text.alias("text"), "path")
 
 
@@ -52,7 +52,7 @@ def with_sentences(docs: DataFrame) -> DataFrame:
 def strings_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV with header as strings; columns that it lacks are empty, a byte order mark is dropped."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    df = df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
+    df = df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
     return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns])
 
 
@@ -89,7 +89,7 @@ def matrix(spark: SparkSession, path: str, doc_ids: list[str] | None = None) ->
     from ..operators.stats import unpivot_matrix
 
     wide = spark.read.option("header", True).csv(path)
-    wide = wide.toDF(*[c.lstrip("﻿") for c in wide.columns])
+    wide = wide.toDF(*[c.lstrip("\ufeff") for c in wide.columns])
     return unpivot_matrix(wide.where(F.col("document").isin(doc_ids)) if doc_ids else wide)
 
 
