@@ -37,11 +37,11 @@ def canonicalize(phrases: DataFrame, lexicon: DataFrame, phrase_col: str = "phra
     return out.withColumn("canonical", F.coalesce("__term", F.col(phrase_col))).withColumn("bow_confidence", F.coalesce("__conf", F.lit(0.0))).drop("__key", "__term", "__conf")
 
 
-def contained(sentences: DataFrame, aliases: DataFrame, keys: list[str], lengths: list[int], text_col: str = "text") -> DataFrame:
-    """Joins sentences with the aliases they contain: keys, every column of aliases, first_pos (word position)."""
+def contained(sentences: DataFrame, aliases: DataFrame, keys: list[str], lengths: list[int], text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """Joins sentences with the aliases they contain: keys, every column of aliases, first_pos (word position). also: keys that aliases share."""
     s = barrier(sentences.select(*keys, F.col(text_col).alias("__text")), __tokens=tokens("__text"))
     grams = F.flatten(F.array(*[F.transform(ngrams(F.col("__tokens"), n), lambda g, i: F.struct(g.alias("alias"), i.alias("at"))) for n in lengths]))
-    return s.select(*keys, F.inline(grams)).join(small(aliases), "alias").groupBy(*keys, *aliases.columns).agg(F.min("at").alias("first_pos"))
+    return s.select(*keys, F.inline(grams)).join(small(aliases), ["alias", *also]).groupBy(*keys, *[c for c in aliases.columns if c not in also]).agg(F.min("at").alias("first_pos"))
 
 
 def alias_lengths(aliases: DataFrame, most: int = 12) -> list[int]:
@@ -68,18 +68,27 @@ def cue_hits(sentences: DataFrame, cues: DataFrame, keys: list[str], section_col
 
 
 def fuzzy_pairs(phrases: DataFrame, aliases: DataFrame, phrase_col: str, carry: list[str]) -> DataFrame:
-    """Pairs of a distinct phrase and an alias with a match quality over 0.
+    """Pairs of a distinct phrase and an alias with a match quality over 0. aliases: alias and the columns in carry.
 
-    aliases: alias and the columns in carry. Pairs share a token; a pair is made once, at the first token they share.
+    Tokens are ranked by how few aliases have them. An alias within a phrase, or one with a Jaccard of .72, shares one
+    of its own first tokens in that order with the phrase; a phrase within an alias shares its own first. So common
+    words join nothing unless an alias or phrase has no other.
     """
     p = phrases.select(normalize(phrase_col).alias("phrase")).where("phrase <> ''").distinct()
     p = barrier(p, p_tokens=F.array_distinct(F.split("phrase", " ")))
     a = barrier(aliases.select("alias", *carry).where("alias <> ''"), a_tokens=F.array_distinct(F.split("alias", " ")))
-    left = p.select("*", F.explode("p_tokens").alias("token"))
-    right = a.select("*", F.explode("a_tokens").alias("token"))
-    pairs = left.join(small(right), "token").where(F.col("token") == F.element_at(F.array_intersect("p_tokens", "a_tokens"), 1))
+    names = a.select("alias", "a_tokens").distinct()
+    each = names.select("alias", F.size("a_tokens").alias("n"), F.explode("a_tokens").alias("token"))
+    counts = small(each.groupBy("token").agg(F.count("*").alias("aliases")))
+    ranked = each.join(counts, "token").groupBy("alias", "n").agg(F.array_sort(F.collect_list(F.struct("aliases", "token"))).alias("r"))
+    first = ranked.select("alias", F.explode(F.slice("r", 1, F.col("n") - F.ceil(0.72 * F.col("n")).cast("int") + 1)).alias("x")).select("alias", F.col("x.token").alias("token"))
+    tokens_of = p.select("phrase", F.size("p_tokens").alias("n"), F.explode("p_tokens").alias("token"))
+    within = tokens_of.join(counts, "token").groupBy("phrase", "n").agg(F.count("*").alias("known"), F.min(F.struct("aliases", "token")).alias("m")).where("known = n and n >= 2")
+    pairs = tokens_of.join(small(first), "token").select("phrase", "alias")
+    pairs = pairs.unionByName(within.select("phrase", F.col("m.token").alias("token")).join(small(each), "token").select("phrase", "alias")).distinct()
+    full = pairs.join(small(a), "alias").withColumn("p_tokens", F.array_distinct(F.split("phrase", " ")))
     quality = match_quality(F.col("phrase"), F.col("alias"), F.col("p_tokens"), F.col("a_tokens"))
-    return pairs.select("phrase", "alias", *carry, quality.alias("quality")).where("quality > 0")
+    return full.select("phrase", "alias", *carry, quality.alias("quality")).where("quality > 0")
 
 
 def match_terms(phrases: DataFrame, lexicon: DataFrame, phrase_col: str = "phrase", section_col: str = "section", same_section: bool = False) -> DataFrame:
