@@ -15,6 +15,7 @@ no rows; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -57,7 +58,7 @@ class Encoder:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
+        self.library = functools.cache(lambda: Tokenizer.from_file(path))  # loaded when a text needs it
         spec = json.load(open(path, encoding="utf-8"))
         pre = spec.get("pre_tokenizer") or {}
         plain = spec["model"]["type"] == "BPE" and spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space")
@@ -68,7 +69,7 @@ class Encoder:
     def __call__(self, text: str) -> np.ndarray:
         if self.fast is not None and not self.odd.search(text):
             return self.fast.encode_to_numpy(text, disallowed_special=())
-        return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return np.array(self.library().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 def encoder(path: str) -> Encoder:
