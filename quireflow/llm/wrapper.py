@@ -3,7 +3,7 @@
 A page's DOM is reduced to its block elements, labelled by tag and class; runs of like siblings fold to one node,
 so pages of one template have one small tree. Trees of a host's pages are aligned with the host's most frequent
 tree by simple tree matching. A node whose text is the same on all of the host's pages is part of the template;
-nodes that vary are slots. Content are the varying slots of the region that holds most of the varying text,
+nodes that vary are slots. Content are the varying slots of the smallest region that holds all of the varying text,
 without those that are menus, headers, footers, adverts, forms, comments and the like by tag, class or role.
 
 Slot statistics cover all pages. They are reduced in the parsing task to one row for each host, tree and node
@@ -296,8 +296,8 @@ def induce_wrappers(pages: DataFrame, min_pages: int = 5) -> DataFrame:
     )
 
 
-def region_of(tree: Tree, masses: dict[int, int], share: float = 0.6) -> int:
-    """The deepest container with at least that share of the varying text of its parent, from the root down; boilerplate doesn't count."""
+def region_of(tree: Tree, masses: dict[int, int]) -> int:
+    """The smallest container that has all of the varying text, article and main elements being the smallest; boilerplate doesn't count."""
     own, bad = [0] * len(tree.labels), [False] * len(tree.labels)
     for k, x in enumerate(tree.labels):
         bad[k] = boilerplate(x) or (tree.parents[k] >= 0 and bad[tree.parents[k]])
@@ -305,11 +305,12 @@ def region_of(tree: Tree, masses: dict[int, int], share: float = 0.6) -> int:
     for k in range(len(own) - 1, 0, -1):
         own[tree.parents[k]] += own[k]
     at = 0
-    while True:
-        inner = [c for c in tree.children[at] if tree.labels[c].split("[")[0] not in LEAF and tree.children[c] and own[c] >= share * own[at] and own[c]]
+    while tree.labels[at].split("[")[0] not in ("article", "main"):
+        inner = [c for c in tree.children[at] if tree.labels[c].split("[")[0] not in LEAF and tree.children[c] and own[c] == own[at] and own[c]]
         if not inner:
             return at
         at = inner[0]
+    return at
 
 
 def main_text(html: str | None, reference: str | None = None, constant: list[int] | None = None, masses: dict[int, int] | None = None) -> str:

@@ -6,7 +6,7 @@ import re
 import pytest
 
 pytest.importorskip("quireflow.llm")
-from quireflow.llm import shingle_join  # noqa: E402
+from quireflow.llm import shingle_join, wrapper  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -59,3 +59,16 @@ def test_near_copies_are_those_of_equal_shingles(spark):
     assert [got[i] for i in range(len(texts))] == want and len(set(want)) < len(want) - 60
     kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
     assert kept.count() == len(set(want)) and shingle_join.near_copies(docs.limit(0)).count() == 0
+
+
+def test_headline_and_lead_beside_a_body_stay(spark):
+    def page(k, tag):
+        body = "".join(f"<p>{' '.join(words(40))} {k}</p>" for _ in range(3))
+        return f"<body><div>Our site</div><{tag}><h1>Head {k}</h1><p class=lead>Lead {k}</p><div class=body><div>{body}</div></div><section><p>More {k}</p></section></{tag}></body>"
+
+    random.seed(22)
+    rows = [(k, f"http://{tag}.com/{k}", page(k, tag)) for tag in ("article", "div") for k in range(8)]
+    got = wrapper.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in got:
+        parts, k = r["text"].split("\n\n"), r["page_id"]
+        assert len(parts) == 6 and parts[:2] == [f"Head {k}", f"Lead {k}"] and parts[-1] == f"More {k}"
