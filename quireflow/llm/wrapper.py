@@ -2,12 +2,12 @@
 
 A page's DOM is reduced to its block elements, labelled by tag and class; runs of like siblings fold to one node,
 so pages of one template have one small tree. Trees of a host's pages are aligned with the host's most frequent
-tree by simple tree matching. A node whose text is the same on all of the host's pages is part of the template;
-nodes that vary are slots. Content are the varying slots of the smallest region that holds all of the varying text,
+tree by simple tree matching. A node whose text is the same on nearly all of the host's pages that have it is part
+of the template where it has that text; nodes that vary are slots. Content are the varying slots of the smallest region that holds all of the varying text,
 without those that are menus, headers, footers, adverts, forms, comments and the like by tag, class or role.
 
-Slot statistics cover all pages. They are reduced in the parsing task to one row for each host, tree and node
-with a count and the least and greatest hash, so a host with a third of all pages moves as little as any other.
+Slot statistics cover all pages that have text. They are rows for each host, tree, node and hash of the text, dealt out
+by all of these and reduced to one for each host and node, so no task takes a host with a third of all pages.
 Wrappers, one row for each host, are broadcast if they are few; else adaptive execution splits the join's hot
 hosts. Pages are parsed twice and never grouped.
 
@@ -246,53 +246,68 @@ def text_hash(text: str) -> int:
     return xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def slot_texts(blocks: list[tuple[Node, str]]) -> dict[int, str]:
+    """The text of each slot of a page, its blocks joined by line feeds."""
+    texts: dict[int, list[str]] = {}
+    for node, text in blocks:
+        texts.setdefault(node.slot, []).append(text)
+    return {slot: "\n".join(parts) for slot, parts in texts.items()}
+
+
 def slot_statistics(pages: DataFrame) -> DataFrame:
-    """pages: host, html. host, tree, slot, n, lo, hi, mass: pages with text in the slot, least and greatest hash, characters."""
+    """pages: host, html. host, tree_id, slot, h, tree, n, mass: pages with the text of hash h in the slot, its characters.
+
+    Slot 0 counts the tree's pages and alone has the tree. Pages without text count nowhere.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: dict[tuple, list] = {}
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
                 root, blocks = parse(html.as_py() or "")
+                if not blocks:
+                    continue
                 tree = str(fold(root))
-                texts: dict[int, list[str]] = {0: []}
-                for node, text in blocks:
-                    texts.setdefault(node.slot, []).append(text)
-                for slot, parts in texts.items():
-                    whole = "\n".join(parts)
-                    h, size = text_hash(whole), len(whole)
-                    x = found.get((host, tree, slot))
-                    if x is None:
-                        found[host, tree, slot] = [1, h, h, size]
-                    else:
-                        x[0] += 1
-                        x[1], x[2], x[3] = min(x[1], h), max(x[2], h), x[3] + size
+                tree_id = text_hash(tree)
+                rows = [(0, 0, tree, 0)] + [(slot, text_hash(whole), None, len(whole)) for slot, whole in slot_texts(blocks).items() if slot]
+                for slot, h, t, size in rows:
+                    x = found.setdefault((host, tree_id, slot, h), [t, 0, 0])
+                    x[1], x[2] = x[1] + 1, x[2] + size
             keys, values = list(found), list(found.values())
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            columns = [*([k[i] for k in keys] for i in range(3)), *([v[i] for v in values] for i in range(4))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["host", "tree", "slot", "n", "lo", "hi", "mass"])
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            columns = [*([k[i] for k in keys] for i in range(4)), *([v[i] for v in values] for i in range(3))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds)], ["host", "tree_id", "slot", "h", "tree", "n", "mass"])
+
+    raw = pages.mapInArrow(run, "host string, tree_id long, slot int, h long, tree string, n long, mass long")
+    return raw.groupBy("host", "tree_id", "slot", "h").agg(F.max("tree").alias("tree"), F.sum("n").alias("n"), F.sum("mass").alias("mass"))
 
-    raw = pages.mapInArrow(run, "host string, tree string, slot int, n long, lo long, hi long, mass long")
-    return raw.groupBy("host", "tree", "slot").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("mass").alias("mass"))
 
+def induce_wrappers(pages: DataFrame, min_pages: int = 5, constant_share: float = 0.9) -> DataFrame:
+    """host, reference, constant (hash by slot of the reference) and masses (by slot) for hosts with enough pages.
 
-def induce_wrappers(pages: DataFrame, min_pages: int = 5) -> DataFrame:
-    """host, reference, pages, constant and masses (by slot of the reference) for hosts with enough pages."""
+    A slot is constant if that share of the pages that have it, and at least half of the host's, have one text there.
+    """
     stats = cut(slot_statistics(pages))
-    trees = stats.where("slot = 0").groupBy("host").agg(F.max_by("tree", F.struct("n", "tree")).alias("reference"), F.sum("n").alias("pages")).where(F.col("pages") >= min_pages)
-    mapped = stats.join(trees, "host").select("host", "tree", "reference", "slot", "n", "lo", "hi", "mass", "pages")
+    trees = stats.where("slot = 0").select("host", "tree_id", "tree", "n")
+    hosts = trees.groupBy("host").agg(F.max_by("tree", F.struct("n", "tree")).alias("reference"), F.sum("n").alias("pages")).where(F.col("pages") >= min_pages)
+    hosts = cut(hosts)
+    slots = stats.where("slot > 0").select("host", "tree_id", "slot").distinct()
+    paired = slots.join(trees.select("host", "tree_id", "tree"), ["host", "tree_id"]).join(maybe_broadcast(hosts), "host").select("host", "tree_id", "slot", "tree", "reference")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = [aligned(t, r).get(s) for t, r, s in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(slots, pa.int32()), *(batch.column(k) for k in (4, 5, 6, 7, 8))], ["host", "reference", "slot", "n", "lo", "hi", "mass", "pages"])
-
-    merged = mapped.mapInArrow(run, "host string, reference string, slot int, n long, lo long, hi long, mass long, pages long").where("slot is not null")
-    merged = merged.groupBy("host", "reference", "pages", "slot").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("mass").alias("mass"))
-    fixed = (F.col("lo") == F.col("hi")) & (F.col("n") == F.col("pages")) & (F.col("slot") > 0)
-    return merged.groupBy("host", "reference", "pages").agg(
-        F.sort_array(F.collect_list(F.when(fixed, F.col("slot")))).alias("constant"),
-        F.map_from_entries(F.collect_list(F.when(~fixed & (F.col("slot") > 0), F.struct("slot", "mass")))).alias("masses"),
+            at = [aligned(t, r).get(s) for s, t, r in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2)), pa.array(at, pa.int32())], ["host", "tree_id", "slot", "at"])
+
+    placed = cut(paired.mapInArrow(run, "host string, tree_id long, slot int, at int").where("at > 0"))
+    texts = stats.where("slot > 0").join(maybe_broadcast(placed), ["host", "tree_id", "slot"]).groupBy("host", "at", "h").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"))
+    by_slot = texts.groupBy("host", "at").agg(F.max(F.struct("n", "h", "mass")).alias("most"), F.sum("n").alias("n"), F.sum("mass").alias("mass"))
+    by_slot = by_slot.join(maybe_broadcast(hosts), "host")
+    fixed = (F.col("most.n") >= constant_share * F.col("n")) & (2 * F.col("n") >= F.col("pages"))
+    varying = F.when(fixed, F.col("mass") - F.col("most.mass")).otherwise(F.col("mass"))
+    return by_slot.groupBy("host", "reference").agg(
+        F.map_from_entries(F.collect_list(F.when(fixed, F.struct("at", "most.h")))).alias("constant"),
+        F.map_from_entries(F.collect_list(F.when(varying > 0, F.struct("at", varying.alias("mass"))))).alias("masses"),
     )
 
 
@@ -313,7 +328,7 @@ def region_of(tree: Tree, masses: dict[int, int]) -> int:
     return at
 
 
-def main_text(html: str | None, reference: str | None = None, constant: list[int] | None = None, masses: dict[int, int] | None = None) -> str:
+def main_text(html: str | None, reference: str | None = None, constant: dict[int, int] | None = None, masses: dict[int, int] | None = None) -> str:
     """The page's content blocks, joined by two line feeds."""
     if not html:
         return ""
@@ -326,9 +341,10 @@ def main_text(html: str | None, reference: str | None = None, constant: list[int
             if len(store) > 2000:
                 store.clear()
             store[reference] = (masses, region_of(Tree.of(reference), masses))
-        region, fixed = store[reference][1], set(constant or ())
+        region, fixed = store[reference][1], constant or {}
         inside = {k for k, r in pairs.items() if r == region}
-        template = {k for k, r in pairs.items() if r in fixed}
+        texts = slot_texts(blocks)
+        template = {k for k, r in pairs.items() if r in fixed and k in texts and text_hash(texts[k]) == fixed[r]}
     else:
         inside, template = set(), set()
 
@@ -378,7 +394,7 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in (3, 4, 5)]
-            out = [main_text(h.as_py(), r, c, dict(m) if m is not None else None) for h, r, c, m in zip(batch.column(2), *columns)]
+            out = [main_text(h.as_py(), r, dict(c) if c is not None else None, dict(m) if m is not None else None) for h, r, c, m in zip(batch.column(2), *columns)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string")

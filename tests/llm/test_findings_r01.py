@@ -72,3 +72,12 @@ def test_headline_and_lead_beside_a_body_stay(spark):
     for r in got:
         parts, k = r["text"].split("\n\n"), r["page_id"]
         assert len(parts) == 6 and parts[:2] == [f"Head {k}", f"Lead {k}"] and parts[-1] == f"More {k}"
+
+
+def test_empty_and_odd_pages_leave_the_template(spark):
+    page = lambda k, first="Our site, since ever": f"<body><div>{first}</div><div class=content><h1>Head {k}</h1><p>Text of {k}</p></div></body>"
+    html = [page(k) for k in range(20)] + [None, "", "<body>", "<ul><li>another layout</ul>", page(24, "Text of its own")]
+    rows = [(k, f"http://h.com/{k}", x) for k, x in enumerate(html)]
+    got = {r["page_id"]: r["text"] for r in wrapper.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Head {k}\n\nText of {k}" for k in range(20))
+    assert got[20] == got[21] == got[22] == "" and got[23] == "another layout" and got[24] == "Text of its own\n\nHead 24\n\nText of 24"
