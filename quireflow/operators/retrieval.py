@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,17 +33,22 @@ def rank_units(units: DataFrame, keywords: Column, limit: int = 14) -> DataFrame
 
 
 def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, max_queries: int = 1000) -> DataFrame:
-    """query_id, vec_id, score, rank: for each of a stated, bounded set of queries the most similar vectors.
+    """query_id, vec_id, score, rank: for each query the most similar vectors.
 
-    vectors: vec_id, embedding; queries: query_id, q. The queries are broadcast to all vectors; each task keeps its
-    best k before the shuffle. Zero vectors are left out.
+    vectors: vec_id, embedding; queries: query_id, q. Queries of a block, about ``max_queries``, are broadcast to all
+    vectors; each task keeps its best k before the shuffle. Zero vectors are left out.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries: search them in blocks")
     v = vectors.withColumn("v_norm", F.sqrt(dot(F.col("embedding"), F.col("embedding")))).where("v_norm > 0")
     q = queries.withColumn("q_norm", F.sqrt(dot(F.col("q"), F.col("q")))).where("q_norm > 0")
-    s = v.join(F.broadcast(q), F.lit(True)).select("query_id", "vec_id", (dot(F.col("q"), F.col("embedding")) / (F.col("q_norm") * F.col("v_norm"))).alias("score"))
-    return best(s, ["query_id"], [F.desc("score"), F.col("vec_id")], "rank", k)
+    n = queries.count()
+    blocks = 1 if n <= max_queries else -(-2 * n // max_queries)
+
+    def block(i: int) -> DataFrame:
+        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        s = v.join(F.broadcast(part), F.lit(True)).select("query_id", "vec_id", (dot(F.col("q"), F.col("embedding")) / (F.col("q_norm") * F.col("v_norm"))).alias("score"))
+        return best(s, ["query_id"], [F.desc("score"), F.col("vec_id")], "rank", k)
+
+    return reduce(DataFrame.unionByName, map(block, range(blocks)))
 
 
 def char_chunks(text: str | None, size: int = 800, overlap: int = 100, reach: int = 150, least: int = 20) -> list[str]:

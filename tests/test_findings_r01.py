@@ -3,6 +3,7 @@
 import random
 
 from quireflow.operators import labels as B
+from quireflow.operators import retrieval as V
 from quireflow.plans import analysis
 
 
@@ -17,3 +18,12 @@ def test_greedy_oracle_labels_all_sentences(spark, tmp_path):
     words = [B.rouge_words(x) for x in s]
     best = max(range(70), key=lambda k: (B.rouge_l(words[k], words[1]), -k))
     assert len(got) == 70 and [k for k in got if got[k]] == [best]
+
+
+def test_cosine_topk_takes_any_number_of_queries(spark):
+    random.seed(32)
+    rows = [(k, [random.random() - 0.5 for _ in range(4)]) for k in range(40)]
+    vec = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = vec.selectExpr("vec_id AS query_id", "embedding AS q")
+    whole = sorted(tuple(r) for r in V.cosine_topk(vec, queries, 3).collect())
+    assert sorted(tuple(r) for r in V.cosine_topk(vec, queries, 3, max_queries=12).collect()) == whole and len(whole) == 120
