@@ -6,14 +6,14 @@ import sys
 import tempfile
 import types
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType
 
 #: Code points 9 to 13 and 32, the white space that every word contract here names.
 WS = r"\x20\x09-\x0D"
-#: A side is broadcast up to this many rows; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast up to this many bytes; beyond it the join shuffles.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +36,31 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only if the (checkpointed, narrow) side was counted and is small enough."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def row_bytes(df: DataFrame) -> Column:
+    """About what a row takes in a broadcast table: 16 bytes for each field, and its strings, arrays and maps."""
+    size = F.lit(24 + 16 * len(df.columns))
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, (ArrayType, MapType)):
+            size = size + 32 * F.greatest(F.coalesce(F.size(f.name), F.lit(0)), F.lit(0))
+    return size.cast("long")
+
+
+def maybe_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint only if the (checkpointed) side was measured and is small enough."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= max_bytes else df
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores until no column of df has them; columns compare without case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def worker_cache() -> dict:
@@ -80,6 +102,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.col("m").alias("root"))
 
-
-def persist(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.DISK_ONLY)

@@ -132,7 +132,7 @@ def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
     text_col: str = "text",
-    id_col: str = "doc_id",
+    id_col: str | tuple[str, ...] = "doc_id",
     item_text_col: str = "text",
     item_id_col: str = "item_id",
     size: int = 5,
@@ -140,11 +140,16 @@ def contaminated(
     bins: int = 32,
     block_bytes: int = 16 << 20,
 ) -> DataFrame:
-    """doc_id, item_id, shared, item_shingles, containment, for pairs with containment of at least the threshold."""
+    """doc_id, item_id, shared, item_shingles, containment, for pairs with containment of at least the threshold.
+
+    id_col: one column, which becomes doc_id, or several long ones, which keep their names.
+    """
+    ids = ["doc_id"] if isinstance(id_col, str) else list(id_col)
+    named = [F.col(id_col).cast("long").alias("doc_id")] if isinstance(id_col, str) else [F.col(c).cast("long").alias(c) for c in ids]
     items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.select(F.struct(*named).alias("d_id"), F.col(text_col).alias("text"))
     spark, out = docs.sparkSession, None
     for b in range(blocks):
         rows = [(r[0], r[1]) for r in (items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)).collect()]
@@ -168,9 +173,9 @@ def contaminated(
                         if shared >= threshold * len(wanted):
                             for column, value in zip(found, (key, item, shared, len(wanted), shared / len(wanted))):
                                 column.append(value)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, kinds)], ["doc_id", "item_id", "shared", "item_shingles", "containment"])
+                kinds = (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(found, kinds)], ["d_id", "item_id", "shared", "item_shingles", "containment"])
 
-        part = src.mapInArrow(run, "doc_id long, item_id long, shared long, item_shingles long, containment double")
+        part = src.mapInArrow(run, f"d_id {src.schema['d_id'].dataType.simpleString()}, item_id long, shared long, item_shingles long, containment double")
         out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return out.select("d_id.*", "item_id", "shared", "item_shingles", "containment").distinct()

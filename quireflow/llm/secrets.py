@@ -2,19 +2,23 @@
 
 Base patterns name assignments, access keys and hexadecimal runs; one more kind, ``opaque``, takes long tokens
 that mix letters and digits and that no base span covers. Every candidate's hash is counted over the corpus by
-distinct repositories and owners: a value that many owners have is a copied example, one that few have looks like
-a live credential of its owner. Base spans always stay; of opaque spans only those that look live are added.
+distinct repositories and owners: a value that many owners or many repositories have is a copied example, one that
+few have looks like a live credential of its owner. Base spans always stay; of opaque spans only those that look
+live are added.
 
-Counts are combined before each shuffle, so a value in a third of all documents costs one row a task; values are
-joined back to their spans by a join that adaptive execution splits. Texts are scanned once, never shuffled.
+Counts are by value, owner and repository first, one row for each, so a common value is dealt out by its
+repositories; then sums are combined before each shuffle. Values are joined back to their spans by a join that
+adaptive execution splits. Texts are scanned once, never shuffled.
 
-Edge cases: a null or empty text has no spans; repeated rows are scanned one by one but count once as a
-repository; a null owner or repository counts as none; an empty table gives no rows; other columns are ignored.
-Positions are code points, the end exclusive.
+Edge cases: a null or empty text has no spans; a very long text is scanned whole, in time that grows with its
+length; repeated rows are scanned one by one but count once as a repository; a null owner or repository counts as
+none; an empty table gives no rows; other columns are ignored. Positions are code points, the end exclusive.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +36,13 @@ def empty_spans() -> Column:
     return F.array().cast(SPAN)
 
 
-def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Leftmost non-overlapping matches whose group has the least length: start, rank of the kind, kind, end, hash.
+def mixed(value: Column) -> Column:
+    """Whether a token has a letter and a digit: one of letters alone is a long word, and one of digits alone a number."""
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+
+
+def spans_of(text: Column, kind: str, pattern: str, group: int, least: int, accept: Callable[[Column], Column] | None = None) -> Column:
+    """Leftmost non-overlapping matches whose group has the least length and is accepted: start, rank of the kind, kind, end, hash.
 
     Matches and the text between them, taken by the same pattern, add up to the positions.
     """
@@ -48,7 +57,7 @@ def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> C
         lambda acc, x: F.struct(
             (acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).cast("bigint").alias("at"),
             F.when(
-                F.length(x["value"]) >= least,
+                (F.length(x["value"]) >= least) & accept(x["value"]) if accept else F.length(x["value"]) >= least,
                 F.concat(
                     acc["found"],
                     F.array(
@@ -71,8 +80,8 @@ def spans_of(text: Column, kind: str, pattern: str, group: int, least: int) -> C
 
 
 def uncovered(opaque: Column, base: Column) -> Column:
-    mixed = F.filter(opaque, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.when(F.size(opaque) > 0, mixed).otherwise(empty_spans())
+    apart = F.filter(opaque, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return F.when(F.size(opaque) > 0, apart).otherwise(empty_spans())
 
 
 def joined(spans: Column) -> Column:
@@ -87,10 +96,12 @@ def scan_secrets(
     owner_col: str = "source",
     keep: tuple[str, ...] = ("doc_id",),
     example_owners: int = 3,
+    example_repos: int = 10,
 ) -> DataFrame:
     """Columns ``keep``, base and spans (arrays of start, rank, kind, end, hash), live and examples (likewise).
 
-    live: spans whose value has fewer than ``example_owners`` distinct owners; examples: the rest of the spans.
+    A value that ``example_owners`` distinct owners or ``example_repos`` distinct repositories have is an example;
+    live: spans of other values; examples: the rest of the spans.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(
@@ -98,8 +109,7 @@ def scan_secrets(
         F.col(repo_col).cast("string").alias("s_repo"),
         F.col(owner_col).cast("string").alias("s_owner"),
         F.concat(*[spans_of(text, *x) for x in BASE]).alias("base"),
-        # a token of letters alone is a long word, and one of digits alone a number
-        F.filter(spans_of(text, "opaque", r"(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])" + OPAQUE, 0, 20), lambda s: s["end"] > s["start"]).alias("opaque"),
+        spans_of(text, "opaque", OPAQUE, 0, 20, mixed).alias("opaque"),
     )
     found = found.select("*", F.inline(F.array(F.struct(uncovered(F.col("opaque"), F.col("base")).alias("more"))))).drop("opaque")
     found = cut(found.withColumn("s_uid", F.monotonically_increasing_id()))
@@ -115,7 +125,7 @@ def scan_secrets(
         .agg(F.count("s_owner").alias("owners"), F.sum("repos").alias("repos"))
     )
     each = hits.select("s_uid", F.explode(F.concat("base", "more")).alias("span")).select("s_uid", "span", F.col("span.hash").alias("hash"))
-    widely = counts.where(F.col("owners") >= example_owners).select("hash", F.lit(True).alias("example"))
+    widely = counts.where((F.col("owners") >= example_owners) | (F.col("repos") >= example_repos)).select("hash", F.lit(True).alias("example"))
     told = each.join(widely, "hash", "left").groupBy("s_uid").agg(
         F.collect_list(F.when(F.col("example").isNull(), F.col("span"))).alias("live"),
         F.collect_list(F.when(F.col("example") & (F.col("span.kind") != "opaque"), F.col("span"))).alias("examples"),

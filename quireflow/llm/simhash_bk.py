@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, maybe_broadcast
+from .decontam import Powers, word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -53,32 +54,24 @@ def fingerprint(text: str | None, size: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def vocabulary_print(text: str | None, seed: int = 42, least_chars: int = 4, least_words: int = 8) -> int:
-    """The SimHash of a text's distinct words of four characters or more, of all its words if it has few of those.
-
-    Changing one word changes one of its features but five of its shingles: where a fifth of two texts' five-word
-    shingles differ, shingle prints are about 10 bits apart and these about 4.
-    """
-    from xxhash import xxh64_intdigest
-
-    every = set(WORD.findall((text or "").translate(LOWER)))
-    long = {w for w in every if len(w) >= least_chars}
-    chosen = long if len(long) >= least_words else every
-    if not chosen:
-        return 0
-    h = np.fromiter((xxh64_intdigest(w, seed) for w in chosen), dtype=np.uint64, count=len(chosen))
+def word_print(words: np.ndarray) -> int:
+    """The SimHash of the distinct ones of hashed words, as a signed long: a changed word changes one of them but several shingles."""
+    h = np.unique(words)
     ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 4, seed: int = 42, features: str = "shingles") -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of shingles or of the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for batch in batches:
-            of = (lambda t: vocabulary_print(t, seed)) if features == "vocabulary" else lambda t: fingerprint(t, size, seed)
-            fp = np.array([of(x.as_py()) for x in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            if features == "vocabulary":
+                fp = np.array([word_print(word_hashes(x.as_py() or "", powers)) for x in batch.column(1)], dtype=np.int64)
+            else:
+                fp = np.array([fingerprint(x.as_py(), size, seed) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
@@ -140,8 +133,11 @@ class BKTree:
         return found
 
 
-def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """(member, first of its group) for the members of groups that links within the shard connect."""
+def shard_links(values: list[int], radius: int, near: bool = False) -> list[tuple[int, int]]:
+    """(member, first of its group) for the members of groups that links within the shard connect.
+
+    near: the member that was within the radius of it in place of the first.
+    """
     tree, links = BKTree(values), []
     for k, v in enumerate(values):
         if not tree.live[k]:
@@ -149,15 +145,16 @@ def shard_links(values: list[int], radius: int) -> list[tuple[int, int]]:
         tree.take(k)
         todo = [k]
         while todo:
-            for m in tree.search(values[todo.pop()], radius):
+            at = todo.pop()
+            for m in tree.search(values[at], radius):
                 tree.take(m)
-                links.append((values[m], v))
+                links.append((values[m], values[at] if near else v))
                 todo.append(m)
     return links
 
 
-def link_fingerprints(distinct: DataFrame, n: int, radius: int = 4, shard_limit: int = 4096) -> DataFrame:
-    """Links a, b that connect what is within the radius; distinct: fp, each once."""
+def link_fingerprints(distinct: DataFrame, n: int, radius: int = 4, shard_limit: int = 4096, near: bool = False) -> DataFrame:
+    """Links a, b that connect what is within the radius; distinct: fp, each once. near: only links within the radius."""
     masks = block_masks(radius, extra_blocks(n, radius))
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("value")) for i, m in enumerate(signed)])
@@ -179,7 +176,7 @@ def link_fingerprints(distinct: DataFrame, n: int, radius: int = 4, shard_limit:
         key, members = None, []
 
         def links(found: list[int]) -> list[tuple[int, int]]:
-            return shard_links([v & (1 << 64) - 1 for v in found], radius) if len(found) > 1 else []
+            return shard_links([v & (1 << 64) - 1 for v in found], radius, near) if len(found) > 1 else []
 
         def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
             both = np.array(pairs, dtype=np.uint64).reshape(-1, 2).view(np.int64)

@@ -22,7 +22,7 @@ l AS (SELECT *, list_has_any(string_split_regex(host, '[._-]'), [{terms}]) AS li
 SELECT page_id, host, path, CASE {rule} ELSE NULL END AS rule, listed, CASE {kind} WHEN listed THEN 'block' ELSE 'allow' END AS verdict FROM l"""
 
 
-def secret_sql(example_owners: int = 3) -> str:
+def secret_sql(example_owners: int = 3, example_repos: int = 10) -> str:
     def spans(kind: str, pattern: str, group: int, least: int) -> str:
         p = (pattern if group else f"({pattern})").replace("'", "''")
         return f"""SELECT uid, '{kind}' AS kind, {KINDS.index(kind)} AS rank, unnest(list_transform(range(1, len(h) + 1), lambda i: struct_pack(s := list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0), n := length(h[i]), v := v[i])), recursive := true)
@@ -36,7 +36,7 @@ def secret_sql(example_owners: int = 3) -> str:
 b AS ({base}),
 o AS (SELECT * FROM ({opaque}) x WHERE regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM b WHERE b.uid = x.uid AND b.s < x.s + x.n AND x.s < b.s + b.n)),
 a AS (SELECT * FROM b UNION ALL SELECT * FROM o),
-w AS (SELECT v FROM a JOIN d USING (uid) GROUP BY v HAVING count(DISTINCT source) >= {example_owners}),
+w AS (SELECT v FROM a JOIN d USING (uid) GROUP BY v HAVING count(DISTINCT source) >= {example_owners} OR count(DISTINCT doc_id) >= {example_repos}),
 m AS (SELECT *, v IN (SELECT v FROM w) AS example FROM a), k AS (SELECT * FROM m WHERE kind <> 'opaque' OR NOT example),
 x AS (SELECT uid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, {joined.format(what=f"CASE WHEN kind <> 'opaque' THEN {text} END")} AS base, {joined.format(what=text)} AS spans, count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_examples FROM k GROUP BY uid)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_examples, 0) AS n_examples FROM d LEFT JOIN x USING (uid)"""
