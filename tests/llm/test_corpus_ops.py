@@ -155,14 +155,20 @@ def brute_print(text, size=4):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def brute_vocabulary(text):
-    import xxhash
-
-    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    every = set(WORD.findall(low))
-    long = {w for w in every if len(w) > 3}
-    hs = [xxhash.xxh64_intdigest(w, 42) for w in (long if len(long) > 7 else every)]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+def brute_near_copies(texts, size=5, threshold=0.8):
+    """The smallest index that links of shingle similarity reach, by all pairs."""
+    sets = []
+    for t in texts:
+        w = WORD.findall((t or "").lower())
+        sets.append({tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set())
+    linked = lambda x, y: x == y or len(x & y) >= threshold * len(x | y)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and linked(sets[i], sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
 
 
 def brute_components(prints, radius=4):
@@ -438,8 +444,8 @@ def test_pipeline_agrees_with_its_stages_by_hand(spark, tmp_path):
     before, after = seen[0]
     assert all(not fails(r[1]) for r in after) and not Counter(after) - Counter(before)
     before, after = seen[1]
-    prints = [brute_vocabulary(r[1]) for r in before]
-    assert len(after) == len(set(brute_components(prints, 7))) and not Counter(after) - Counter(before)
+    groups = brute_near_copies([r[1] for r in before])
+    assert len(after) == len(set(groups)) and not Counter(after) - Counter(before)
     before, after = seen[2]
     items = [WORD.findall(r["text"].lower()) for r in bench.collect()]
     clean = [r for r in before if all(len((a := decontam.shingles(q, 5)) & decontam.shingles(WORD.findall(r[1].lower()), 5)) < 0.8 * len(a) for q in items)]
