@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import types
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +32,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable eager checkpoint: computed once, written to the shared folder, survives lost executors."""
+    """df as a table written to the shared folder: computed once, survives lost executors, and its size is known.
+
+    A checkpoint would carry the estimated size of its plan on, which loops of joins multiply to numbers of
+    millions of digits.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -77,22 +84,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges(a, b) by alternating large-star and small-star steps.
 
     Returns (node, root), root the smallest node of the component, for every node of an edge between two
-    different nodes. Each step takes a minimum per node (combined before the shuffle) and joins it back to the
-    edges: by broadcast if the minima were counted and are few, else by a join of plain shuffles, whose skewed keys,
-    nodes with very many neighbours, adaptive execution splits. No component is ever gathered in one task or on
-    the driver. Each round is checkpointed.
+    different nodes. Each step takes a minimum per node (combined before the shuffle) and joins it back to the edges. The
+    edges are written tables, so their sizes are known: adaptive execution broadcasts the minima if they are few,
+    and else splits nodes with very many neighbours. No component is ever gathered in one task or on the driver.
     """
-    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs = cut(pairs)
+    pairs = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = both.where("v > u").join(maybe_broadcast(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = cut(large.where("u <> v").distinct())
         # every node points downwards here: small-star links all lower neighbours to the lowest
-        low2 = cut(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(maybe_broadcast(low2), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         pairs = cut(small.where("u <> v").distinct())
         got = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == got:
