@@ -8,8 +8,10 @@ gives the same turns; the spans of the assistants' texts are the loss mask.
 Rows of single turns are gathered to one record for each conversation, which is as large as its own text.
 
 Edge cases: a null text or role is empty; turns of one number are ordered by role and text, null numbers first;
-repeated rows stay as turns of their own; null ids are one conversation; an unknown layout gives no turns and its
-fingerprint in ``layout``; an empty table gives no rows; other columns are ignored.
+repeated rows stay as turns of their own; null ids are one conversation; a record with more fields than a known
+layout is read by the largest layout that it has; an unknown layout, text that is not JSON or JSON nested beyond the
+parser's depth gives no turns and its fingerprint in ``layout``; very long texts are written whole; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,13 +35,23 @@ ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assist
 FORMATTED = "conv_id long, layout string, formatted string, loss array<struct<start:long,end:long>>, n_turns long"
 
 
-def paths(value: Any, at: str = "") -> set[str]:
-    """Nested field paths; a list's elements share the path with []."""
-    if isinstance(value, dict):
-        return {p for k, v in value.items() for p in (paths(v, f"{at}.{k}" if at else k) or {f"{at}.{k}" if at else k})}
-    if isinstance(value, list):
-        return {p for v in value for p in paths(v, at + "[]")} or {at + "[]"}
-    return {at} if at else set()
+def paths(value: Any) -> set[str]:
+    """Nested field paths; a list's elements share the path with [], and a key's own marks are escaped."""
+    out, todo = set(), [("", value)]
+    while todo:
+        at, v = todo.pop()
+        if isinstance(v, dict):
+            inner = [(f"{at}.{name}" if at else name, x) for k, x in v.items() for name in [re.sub(r"([\\.\[\]])", r"\\\1", k)]]
+        elif isinstance(v, list):
+            inner = [(at + "[]", x) for x in v]
+            if not inner:
+                out.add(at + "[]")
+        else:
+            inner = []
+        if not inner and at:
+            out.add(at)
+        todo += inner
+    return out
 
 
 def schema_fingerprint(fields: set[str]) -> str:
@@ -62,12 +74,20 @@ LAYOUTS: list[tuple[set[str], list[tuple]]] = [
 MAPPINGS = {schema_fingerprint(fields): mapping for fields, mapping in LAYOUTS}
 
 
+def mapping_of(fields: set[str], layout: str) -> list[tuple]:
+    """The mapping of the fingerprint, or of the known layout with most fields among these; none if no layout is."""
+    if layout not in MAPPINGS:
+        inside = max((x for x in LAYOUTS if x[0] <= fields), key=lambda x: len(x[0]), default=(None, []))
+        return inside[1]
+    return MAPPINGS[layout]
+
+
 def canonical_turns(record: dict, mapping: list[tuple]) -> list[tuple[str, str]]:
     out = []
     for rule in mapping:
         if isinstance(rule[-1], bool):
             name, role, text, rename = rule
-            for m in record[name]:
+            for m in (x for x in record[name] if isinstance(x, dict)):
                 r = "" if m.get(role) is None else str(m[role])
                 out.append((ROLES.get(r, r) if rename else r, "" if m.get(text) is None else str(m[text])))
         else:
@@ -112,11 +132,18 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 def conversation_records(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, record: the turns of each conversation, in order, as JSON in the layout of messages."""
+    """conv_id, record: the turns of each conversation, in order, as JSON.
+
+    A user's turn with an assistant's is a prompt with a response; others are messages with text, or content if the
+    id is even.
+    """
     one = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = turns.groupBy(F.col(id_col).cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(one)).alias("m"))
-    messages = F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
-    return rows.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    messages = lambda name: F.to_json(F.struct(F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["text"].alias(name))).alias("messages")))
+    at = lambda k, field: F.get("m", F.lit(k))[field]
+    pair = (F.size("m") == 2) & (at(0, "role") == "user") & (at(1, "role") == "assistant")
+    record = F.when(pair, F.to_json(F.struct(at(0, "text").alias("prompt"), at(1, "text").alias("response"))))
+    return rows.select("conv_id", record.when(F.col("conv_id") % 2 == 1, messages("text")).otherwise(messages("content")).alias("record"))
 
 
 def format_records(records: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
@@ -128,10 +155,11 @@ def format_records(records: DataFrame, id_col: str = "conv_id", record_col: str
             for raw in batch.column(1).to_pylist():
                 try:
                     record = json.loads(raw) if raw is not None else {}
-                except ValueError:
+                except (ValueError, RecursionError):
                     record = {}
-                layout = schema_fingerprint(paths(record))
-                turns = canonical_turns(record, MAPPINGS[layout]) if layout in MAPPINGS else []
+                fields = paths(record)
+                layout = schema_fingerprint(fields)
+                turns = canonical_turns(record, mapping_of(fields, layout)) if isinstance(record, dict) else []
                 text, loss = format_turns(turns)
                 for column, value in zip(out, (layout, text, [{"start": a, "end": b} for a, b in loss], len(turns))):
                     column.append(value)

@@ -3,21 +3,21 @@
 A suffix automaton of each language's labelled text accepts every substring of it. A text is parsed from left to
 right into longest matches; c phrases over m symbols against n symbols of labelled text give c * log2(n) / m bits
 a symbol, and the language of the fewest wins. As a parse restarts at the automaton's root after each phrase, the
-automaton turns into a complete table that also counts phrases, so that many blocks of text step through it at
-once; a parse restarts every ``block`` symbols.
+automaton turns into a table that also counts phrases, so that many blocks of text step through it at once; a parse
+restarts every ``block`` symbols, which cuts at most one phrase of a block, in all languages alike.
 
-The automata are fitted on a bounded sample: of each of the ``max_langs`` most frequent languages about
-``docs_per_lang`` labelled documents, those with the lowest hashes of doc_id, ``doc_chars`` characters of each, and
-at most ``train_chars`` in all. Prediction covers whole texts of all rows, in one pass without a shuffle.
+The automata are fitted on a bounded sample: of each language about ``docs_per_lang`` labelled documents, those
+with the lowest hashes of doc_id among those of at most ``doc_chars`` characters (the shortest one if there is none),
+each whole, until they have ``total_chars`` divided by the number of languages. All of a sample's letters are symbols, whatever
+the alphabet. Prediction covers whole texts of all rows, in one pass without a shuffle.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; a null language is never learned; with
-nothing to learn from every text is ``und``; a null doc_id isn't held out and is never learned from; repeated rows
+nothing to learn from every text is ``und``; very long texts are parsed whole; a null doc_id isn't held out and is never learned from; repeated rows
 are judged one by one; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,38 +64,64 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
-def phrase_table(nxt: list[dict[int, int]], width: int) -> np.ndarray:
-    """Flat table by state * width + symbol: next state * width * 4 + phrases that end. The last symbol ends a text."""
-    n = len(nxt)
-    to = np.full((n, width), -1, dtype=np.int64)
-    rows = np.fromiter((s for s, d in enumerate(nxt) for _ in d), dtype=np.int64)
-    cols = np.fromiter((c for d in nxt for c in d), dtype=np.int64)
-    to[rows, cols] = np.fromiter((t for d in nxt for t in d.values()), dtype=np.int64)
-    root = to[0].copy()
-    known = root >= 0
-    again = np.where(known, root, 0)
-    ends = np.where(known, 1, 2)[None, :].repeat(n, 0)  # an unknown symbol is a phrase of its own
-    ends[0] = np.where(known, 0, 1)
-    out = np.where(to >= 0, to * width * 4, again[None, :] * width * 4 + ends)
-    out[:, width - 1] = 1
-    out[0, width - 1] = 0
-    return out.astype(np.int32).ravel()
+class PhraseTable:
+    """Steps of a parse through an automaton: from state and symbol to the next state and the phrases that end.
+
+    A step is an entry of a full table, or found among the sorted transitions where a full table would be large.
+    """
+
+    def __init__(self, nxt: list[dict[int, int]], width: int, full_entries: int = 4_000_000):
+        self.width, n = width, len(nxt)
+        rows = np.fromiter((s for s, d in enumerate(nxt) for _ in d), dtype=np.int64)
+        cols = np.fromiter((c for d in nxt for c in d), dtype=np.int64)
+        to = np.fromiter((t for d in nxt for t in d.values()), dtype=np.int64)
+        order = np.argsort(rows * width + cols)
+        self.keys, self.to = (rows * width + cols)[order], to[order]
+        root = np.full(width, -1, dtype=np.int64)
+        root[cols[rows == 0]] = to[rows == 0]
+        # where no transition goes on, a phrase ends and the symbol starts the next, or is one of its own if it is unknown
+        self.again, self.ends = np.where(root >= 0, root, 0), np.where(root >= 0, 1, 2)
+        self.again[width - 1], self.ends[width - 1] = 0, 1  # the last symbol ends a text
+        self.full = None
+        if n * width <= full_entries:
+            state, symbol = np.divmod(np.arange(n * width), width)
+            found, ended = self.find(state, symbol)
+            self.full = (found * 4 + ended).astype(np.int64)
+
+    def find(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = state * self.width + symbol
+        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
+        hit = self.keys[at] == key if len(self.keys) else np.zeros(len(key), dtype=bool)
+        to = self.to[at] if len(self.keys) else key
+        # at the root no phrase is open, so none ends
+        return np.where(hit, to, self.again[symbol]), np.where(hit, 0, self.ends[symbol] - (state == 0))
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.full is None:
+            return self.find(state, symbol)
+        x = self.full[state * self.width + symbol]
+        return x >> 2, x & 3
 
 
 class Model:
-    """Tables of all languages over one alphabet."""
+    """Tables of all languages; symbols are those of all samples, and each table has its own language's."""
 
-    def __init__(self, texts: dict[str, str], max_symbols: int = 120, block: int = 512):
+    def __init__(self, texts: dict[str, str], block: int = 4096):
         self.langs, self.block = sorted(texts), block
         letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
-        self.lookup = np.where(letters, UNKNOWN, SPACE).astype(np.uint8)
-        seen = Counter(c for t in texts.values() for c in t.lower() if c.isalpha())
-        for k, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:max_symbols]):
-            self.lookup[ord(c)] = 2 + k
-        self.width = 2 + min(len(seen), max_symbols) + 1
-        trained = {x: self.symbols(texts[x]) for x in self.langs}
-        self.tables = {x: phrase_table(suffix_automaton([c for c in trained[x].tolist() if c != UNKNOWN]), self.width) for x in self.langs}
-        self.bits = {x: np.log2(max(2, len(trained[x]))) for x in self.langs}
+        seen = sorted({c for t in texts.values() for c in t.lower() if c.isalpha()})
+        self.end = 2 + len(seen)
+        self.lookup = np.where(letters, UNKNOWN, SPACE).astype(np.min_scalar_type(self.end))
+        self.lookup[[ord(c) for c in seen]] = np.arange(2, self.end)
+        self.tables, self.local, self.bits = {}, {}, {}
+        for x in self.langs:
+            trained = self.symbols(texts[x])
+            own = np.unique(trained[trained > UNKNOWN])
+            local = np.full(self.end + 1, UNKNOWN, dtype=np.int64)
+            local[own], local[SPACE], local[self.end] = np.arange(2, 2 + len(own)), SPACE, 2 + len(own)
+            self.local[x] = local
+            self.tables[x] = PhraseTable(suffix_automaton(local[trained[trained != UNKNOWN]].tolist()), 3 + len(own))
+            self.bits[x] = np.log2(max(2, len(trained)))
 
     def symbols(self, text: str) -> np.ndarray:
         s = self.lookup[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
@@ -105,11 +131,12 @@ class Model:
         """Phrases of each document (rows) in each language (columns)."""
         sizes = np.array([len(d) for d in docs])
         blocks = -(-sizes // self.block)
-        grid = np.full((int(blocks.sum()), self.block + 1), self.width - 1, dtype=np.uint8)
+        grid = np.full((int(blocks.sum()), min(self.block, int(sizes.max())) + 1), self.end, dtype=self.lookup.dtype)
         at = 0
         for d, k in zip(docs, blocks.tolist()):
             whole = len(d) // self.block
-            grid[at : at + whole, : self.block] = d[: whole * self.block].reshape(-1, self.block)
+            if whole:
+                grid[at : at + whole, : self.block] = d[: whole * self.block].reshape(-1, self.block)
             if k > whole:
                 grid[at + whole, : len(d) - whole * self.block] = d[whole * self.block :]
             at += k
@@ -117,11 +144,10 @@ class Model:
         out = np.zeros((len(docs), len(self.langs)), dtype=np.int64)
         columns = np.ascontiguousarray(grid.T)
         for j, lang in enumerate(self.langs):
-            table, state, count = self.tables[lang], np.zeros(len(grid), dtype=np.int32), np.zeros(len(grid), dtype=np.int32)
+            table, local, state, count = self.tables[lang], self.local[lang], np.zeros(len(grid), dtype=np.int64), np.zeros(len(grid), dtype=np.int64)
             for c in columns:
-                step = table[state + c]
-                count += step & 3
-                state = step >> 2
+                state, ended = table.step(state, local[c])
+                count += ended
             out[:, j] = np.bincount(owner, weights=count, minlength=len(docs))
         return out
 
@@ -153,22 +179,25 @@ class Model:
         return langs, scores
 
 
-def training_texts(docs: DataFrame, learn: Column, text_col: str, lang_col: str, id_col: str, docs_per_lang: int, doc_chars: int, train_chars: int, max_langs: int) -> dict[str, str]:
+def training_texts(docs: DataFrame, learn: Column, text_col: str, lang_col: str, id_col: str, docs_per_lang: int, doc_chars: int, total_chars: int) -> dict[str, str]:
     """The bounded sample, as one text for each language."""
-    rows = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    rows = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"))
+    short = F.length("text") <= doc_chars
+    counts = rows.groupBy("lang").agg(F.count_if(short).alias("n")).collect()
     if not counts:
         return {}
-    langs, picked = [r["lang"] for r in counts], F.lit(False)
-    for r in counts:
-        # hashes are even, so this bound lets about docs_per_lang rows through, wherever they are
-        bound = (1 << 63) - 1 if r["n"] <= docs_per_lang else int(docs_per_lang / r["n"] * (1 << 64)) - (1 << 63)
-        picked = picked | ((F.col("lang") == r["lang"]) & (F.col("h") <= bound))
-    sample = rows.where(picked & F.col("text").isNotNull()).select("lang", "h", F.substring("text", 1, doc_chars).alias("text")).distinct().limit(len(langs) * docs_per_lang * 2).collect()
+    # hashes are even, so a bound on them lets about docs_per_lang rows through, wherever they are
+    bounds = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], (1 << 63) - 1 if r["n"] <= docs_per_lang else int(docs_per_lang / r["n"] * (1 << 64)) - (1 << 63))])
+    sample = [tuple(r) for r in rows.where(short & (F.col("h") <= F.element_at(bounds, F.col("lang")))).select("lang", "h", "text").distinct().collect()]
+    missing = {r["lang"] for r in counts} - {x[0] for x in sample}
+    if missing:
+        first = rows.where(F.col("lang").isin(*missing)).groupBy("lang").agg(F.min(F.struct(F.length("text").alias("n"), "h", "text")).alias("r"))
+        sample += [tuple(r) for r in first.select("lang", "r.h", "r.text").collect()]
     out: dict[str, str] = {}
-    for r in sorted(sample, key=lambda r: (r["lang"], r["h"], r["text"])):
-        out[r["lang"]] = (out.get(r["lang"], "") + " " + r["text"])[:train_chars]
-    return {k: v for k, v in out.items() if any(c.isalpha() for c in v)}
+    for lang, _, text in sorted(sample):
+        if len(out.get(lang, "")) < total_chars / len(counts):
+            out[lang] = f"{out.get(lang, '')} {text}"
+    return out
 
 
 def identify_languages(
@@ -178,12 +207,11 @@ def identify_languages(
     lang_col: str = "lang",
     id_col: str = "doc_id",
     docs_per_lang: int = 64,
-    doc_chars: int = 4_000,
-    train_chars: int = 40_000,
-    max_langs: int = 64,
+    doc_chars: int = 8_000,
+    total_chars: int = 160_000,
 ) -> DataFrame:
     """doc_id, lang_pred, score. learn: which rows may be learned from (all by default)."""
-    texts = training_texts(docs, F.lit(True) if learn is None else learn, text_col, lang_col, id_col, docs_per_lang, doc_chars, train_chars, max_langs)
+    texts = training_texts(docs, F.lit(True) if learn is None else learn, text_col, lang_col, id_col, docs_per_lang, doc_chars, total_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, key = worker_cache(), ("langid", hash(tuple(sorted(texts.items()))))

@@ -10,9 +10,9 @@ its length: a share of n things strays by about one in the root of n. Common-wor
 characters, counted over all documents, the ``top_words`` most frequent of each language. Both passes read the
 text once; histograms of documents are checkpointed between them, so the text is not read a third time.
 
-Edge cases: a null or empty text has no words and fails the base rule; a null language, or one beyond the
-``max_langs`` most frequent ones, is compared with the documents of all such languages together; repeated rows
-are judged one by one; an empty table gives no rows; columns with other names are carried or ignored.
+Edge cases: a null or empty text has no words and fails the base rule; a document whose language is null, or beyond the
+``max_langs`` most frequent ones, has no reference and is judged by the base rules alone; very long texts are read whole;
+repeated rows are judged one by one; an empty table gives no rows; columns with other names are carried or ignored.
 """
 
 from __future__ import annotations
@@ -172,8 +172,8 @@ def judge_quality(
         sums = barrier(sums, r_chars=total(F.col("r_classes")), r_words=total(F.col("r_counts")))
         judged = barrier(
             df.join(F.broadcast(sums), "q_lang", "left"),
-            class_distance=F.when(F.col("word_chars") >= min_chars, divergence("q_classes", "r_classes", "word_chars", "r_chars")),
-            word_distance=F.when(F.col("n_words") >= min_common_words, divergence("q_counts", "r_counts", "n_words", "r_words")),
+            class_distance=F.when((F.col("q_lang") != OTHER) & (F.col("word_chars") >= min_chars), divergence("q_classes", "r_classes", "word_chars", "r_chars")),
+            word_distance=F.when((F.col("q_lang") != OTHER) & (F.col("n_words") >= min_common_words), divergence("q_counts", "r_counts", "n_words", "r_words")),
         )
         far = F.coalesce(F.col("class_distance") > class_limit[0] + class_limit[1] / F.sqrt("word_chars"), F.lit(False))
         far = far | F.coalesce(F.col("word_distance") > word_limit[0] + word_limit[1] / F.sqrt("n_words"), F.lit(False))

@@ -72,7 +72,7 @@ def quality_sql(top_words: int = 12, max_word_chars: int = 4) -> str:
 p{name} AS (SELECT uid, kind, n / total AS p, coalesce(r, 0) / t AS q FROM bins JOIN t{name} USING (lang, kind) LEFT JOIN r{name} USING (lang, kind, bin)),
 s{name} AS (SELECT uid, kind, sqrt(greatest(CAST(0 AS DOUBLE), sum((p * log2(p / ((p + q) / 2)) + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2) + (1 - sum(q)) / 2)) AS js FROM p{name} GROUP BY ALL),
 j{name} AS (SELECT uid, coalesce(max(js) FILTER (kind = 'c'), 0) AS cd, coalesce(max(js) FILTER (kind = 'w'), 0) AS wd FROM ok LEFT JOIN s{name} USING (uid) GROUP BY uid),
-k{name} AS (SELECT uid, CASE WHEN word_chars >= 120 THEN cd END AS class_distance, CASE WHEN n_words >= 60 THEN wd END AS word_distance FROM c JOIN j{name} USING (uid)),
+k{name} AS (SELECT uid, CASE WHEN lang <> '?' AND word_chars >= 120 THEN cd END AS class_distance, CASE WHEN lang <> '?' AND n_words >= 60 THEN wd END AS word_distance FROM c JOIN j{name} USING (uid)),
 n{name} AS (SELECT uid FROM k{name} JOIN c USING (uid) WHERE NOT failed AND NOT coalesce(class_distance > CAST(0.21 AS DOUBLE) + CAST(2.2 AS DOUBLE) / sqrt(word_chars), false) AND NOT coalesce(word_distance > CAST(0.26 AS DOUBLE) + CAST(1.6 AS DOUBLE) / sqrt(n_words), false))"""
 
     return rf"""WITH d AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(lang, '?') AS lang, coalesce(text, '') AS t FROM documents), w AS (SELECT *, {WORDS.format(x="t")} AS w FROM d), a AS (SELECT *, array_to_string(w, '') AS j FROM w),

@@ -13,7 +13,7 @@ grammar. The weights of the patterns and the decision point are learned next. Le
 without a shuffle.
 
 Edge cases: a null or empty text matches no pattern and has the grammar's lowest score; several labels of a
-document count as toxic if one does; a null label or doc_id is not learned from; repeated rows are scored one by
+document count as toxic if one does; of texts that agree in a sample the least stays; very long texts are scored whole; a null label or doc_id is not learned from; repeated rows are scored one by
 one; without labels the seed words and weights alone decide; an empty table gives no rows; other columns are
 ignored.
 """
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .quality import barrier, words_of
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -40,7 +41,7 @@ TARGETS = frozenset("you your he she they them him her du dich ihr euch sie tu t
 NEGATIONS = frozenset("not no never none nicht kein keine nie jamais aucun nunca jamás ningún".split())
 REPORTS = frozenset("said says wrote claimed quoted called reported sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
 #: Default weights of the patterns: insult (I), threat (H), with a target nearby (J, K), negated (n), reported (r).
-PATTERNS = {"I": 3.0, "J": 4.0, "H": 0.4, "K": 1.5, "n": 0.8, "r": 1.2}
+PATTERNS = {"I": 3.0, "J": 4.0, "H": 0.4, "K": 1.5, "n": 0.8, "r": 0.9}
 
 
 class Transducer:
@@ -113,8 +114,15 @@ class Grammar:
 
 
 def features(text: str) -> set[str]:
-    """Words as =word, prefixes as ^prefix."""
-    words = set(WORD.findall(text.lower()))
+    """Words as =word, prefixes as ^prefix, but for words that are negated or reported: those tell nothing of the word."""
+    low = text.lower()
+    words = set(WORD.findall(low))
+    if not words.isdisjoint(NEGATIONS) or not words.isdisjoint(REPORTS):
+        words = set()
+        for clause in CLAUSE.split(low):
+            own = WORD.findall(clause)
+            symbols = ["N" if w in NEGATIONS else "R" if w in REPORTS else "I" for w in own]
+            words.update(w for w, s in zip(own, REPORT(NEGATE(symbols))) if s == "I")
     return {"=" + w for w in words} | {"^" + w[:k] for w in words for k in PREFIXES if len(w) > k}
 
 
@@ -144,7 +152,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn: Column, text_col:
     n = F.size("t_words")
     runs = F.when(n >= 5, F.transform(F.sequence(F.lit(1), n - 4), lambda i: F.xxhash64(F.slice("t_words", i, 5)))).otherwise(F.array(F.xxhash64("t_words")))
     rows = barrier(rows, t_runs=runs).select("text", "toxic", F.array_min("t_runs").alias("least"), F.array_max("t_runs").alias("most"))
-    return rows.dropDuplicates(["least"]).dropDuplicates(["most"]).select("text", "toxic")
+    for k in ("least", "most"):
+        rows = rows.groupBy(k).agg(F.min(F.struct("text", "toxic", *{"least", "most"} - {k})).alias("row")).select(k, "row.*")
+    return cut(rows.select("text", "toxic"))
 
 
 def learn_grammar(sample: DataFrame, min_share: float = 0.005, min_docs: int = 4, min_purity: float = 0.95, max_chance: float = 1e-5, max_lexicon: int = 4000) -> Grammar:
@@ -193,7 +203,7 @@ def learn_grammar(sample: DataFrame, min_share: float = 0.005, min_docs: int = 4
             keys = list(seen)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], ["pattern", "toxic", "n"])
 
-    rows = sample.mapInArrow(match, "pattern string, toxic long, n long").groupBy("pattern", "toxic").agg(F.sum("n").alias("n")).limit(4096).collect()
+    rows = sample.mapInArrow(match, "pattern string, toxic long, n long").groupBy("pattern", "toxic").agg(F.sum("n").alias("n")).collect()
     by = {(r["pattern"], r["toxic"]): r["n"] for r in rows}
     weights = {}
     for p, prior in PATTERNS.items():

@@ -2,18 +2,21 @@
 
 A page's DOM is reduced to its block elements, labelled by tag and class; runs of like siblings fold to one node,
 so pages of one template have one small tree. Trees of a host's pages are aligned with the host's most frequent
-tree by simple tree matching. A node whose text is the same on nearly all of the host's pages that have it is part
-of the template where it has that text; nodes that vary are slots. Content are the varying slots of the smallest region that holds all of the varying text,
-without those that are menus, headers, footers, adverts, forms, comments and the like by tag, class or role.
-
-Slot statistics cover all pages that have text. They are rows for each host, tree, node and hash of the text, dealt out
-by all of these and reduced to one for each host and node, so no task takes a host with a third of all pages.
+tree by simple tree matching. A text block that stands in the same node on nearly all of the host's pages that have the
+node is part of the template; what varies there is in a slot. Content are the varying blocks of the smallest region that
+holds all of the varying text, without those that are menus, headers, footers, adverts, forms, comments and the like
+by tag, class or role.
+
+Slot statistics cover all pages that have text. They are rows for each host, tree, node and hash of a block, dealt out
+by all of these and reduced to one for each host and node, so no task takes a host with a third of all pages. Each
+tree is sent once.
 Wrappers, one row for each host, are broadcast if they are few; else adaptive execution splits the join's hot
 hosts. Pages are parsed twice and never grouped.
 
 Edge cases: null or empty html gives empty text; hosts with fewer than ``min_pages`` pages, or whose pages are
 all copies, have no wrapper: then labels alone decide, within article or main elements where there are any;
-unclosed, misnested and truncated markup is read as browsers do, roughly; very deep nesting is flattened; repeated
+unclosed, misnested and truncated markup is read as browsers do, roughly; nesting beyond ``MAX_DEPTH`` is flattened,
+but for boilerplate there, which goes; very long pages are read whole, in time that grows with their length; repeated
 rows are kept; an empty table gives no rows; other columns are ignored.
 """
 
@@ -30,11 +33,12 @@ from pyspark.sql import functions as F
 from .common import cut, maybe_broadcast, worker_cache
 from .url_cascade import host_of
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
+#: Possessive, so each tag is read once; a quote that nothing closes is a character like others.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)(?:>|\Z)""", re.S)
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # HTML element names by kind.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea svg math object select button xmp noembed noframes".split())
+RAW = frozenset("script style noscript template iframe textarea select button xmp noembed noframes".split())
 BLOCK = frozenset(
     "html head body title article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption "
     "figure figcaption nav header footer aside form fieldset address details summary dialog center hgroup menu search".split()
@@ -72,7 +76,9 @@ def boilerplate(label: str) -> bool:
     tag, _, rest = label.partition("[")
     if tag in NOT_CONTENT:
         return True
-    return any(w in NOT_CONTENT_WORDS for w in re.split(r"[^a-z]+", rest) if w not in ("class", "id", "role"))
+    words = [w for w in re.split(r"[^a-z]+", rest) if w and w not in ("class", "id", "role")]
+    # a paragraph with other names too is one of the text that is set apart
+    return bool(words) and (all if tag in LEAF else any)(w in NOT_CONTENT_WORDS for w in words)
 
 
 def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
@@ -80,13 +86,13 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
     root = at = Node("#root", "#root", None)
     blocks: list[tuple[Node, str]] = []
     held: list[str] = []
-    flat = 0  # open elements beyond the depth
+    flat: list[tuple[str, bool]] = []  # open elements beyond the depth, and whether they are boilerplate
 
     def flush() -> None:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
-            if text:
+            if text and not any(bad for _, bad in flat):
                 blocks.append((at, text))
 
     pos, n = 0, len(html)
@@ -125,7 +131,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
                             break
                     x = x.parent
             if at.depth >= MAX_DEPTH:
-                flat += 1
+                flat.append((tag, boilerplate(label_of(tag, m[3]))))
                 continue
             child = Node(tag, label_of(tag, m[3]), at)
             at.children.append(child)
@@ -133,8 +139,10 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
         elif tag in BLOCK:
             flush()
             if flat:
-                flat -= 1
-                continue
+                k = next((k for k in range(len(flat) - 1, -1, -1) if flat[k][0] == tag), None)
+                if k is not None:
+                    del flat[k:]
+                    continue
             x = at
             while x is not None and x.tag != tag:
                 x = x.parent
@@ -246,18 +254,11 @@ def text_hash(text: str) -> int:
     return xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def slot_texts(blocks: list[tuple[Node, str]]) -> dict[int, str]:
-    """The text of each slot of a page, its blocks joined by line feeds."""
-    texts: dict[int, list[str]] = {}
-    for node, text in blocks:
-        texts.setdefault(node.slot, []).append(text)
-    return {slot: "\n".join(parts) for slot, parts in texts.items()}
-
-
 def slot_statistics(pages: DataFrame) -> DataFrame:
-    """pages: host, html. host, tree_id, slot, h, tree, n, mass: pages with the text of hash h in the slot, its characters.
+    """pages: host, html. host, tree_id, slot, h, tree, n, mass: pages with a block of hash h in the slot, its characters.
 
-    Slot 0 counts the tree's pages and alone has the tree. Pages without text count nowhere.
+    h is null for the pages that have text in the slot; slot 0 counts the tree's pages and alone has the tree. Pages
+    without text count nowhere.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,8 +270,13 @@ def slot_statistics(pages: DataFrame) -> DataFrame:
                     continue
                 tree = str(fold(root))
                 tree_id = text_hash(tree)
-                rows = [(0, 0, tree, 0)] + [(slot, text_hash(whole), None, len(whole)) for slot, whole in slot_texts(blocks).items() if slot]
-                for slot, h, t, size in rows:
+                own: dict[tuple, int] = {}
+                for node, text in blocks:
+                    if node.slot > 0:
+                        own[node.slot, None] = 0
+                        key = node.slot, text_hash(text)
+                        own[key] = own.get(key, 0) + len(text)
+                for slot, h, t, size in [(0, None, tree, 0), *((*k, None, v) for k, v in own.items())]:
                     x = found.setdefault((host, tree_id, slot, h), [t, 0, 0])
                     x[1], x[2] = x[1] + 1, x[2] + size
             keys, values = list(found), list(found.values())
@@ -283,32 +289,31 @@ def slot_statistics(pages: DataFrame) -> DataFrame:
 
 
 def induce_wrappers(pages: DataFrame, min_pages: int = 5, constant_share: float = 0.9) -> DataFrame:
-    """host, reference, constant (hash by slot of the reference) and masses (by slot) for hosts with enough pages.
+    """host, reference, constant (slot of the reference and hash) and masses (varying characters by slot) for hosts with enough pages.
 
-    A slot is constant if that share of the pages that have it, and at least half of the host's, have one text there.
+    A block is constant if that share of the pages that have its slot, at least half of the host's, have it there.
     """
     stats = cut(slot_statistics(pages))
     trees = stats.where("slot = 0").select("host", "tree_id", "tree", "n")
-    hosts = trees.groupBy("host").agg(F.max_by("tree", F.struct("n", "tree")).alias("reference"), F.sum("n").alias("pages")).where(F.col("pages") >= min_pages)
-    hosts = cut(hosts)
-    slots = stats.where("slot > 0").select("host", "tree_id", "slot").distinct()
-    paired = slots.join(trees.select("host", "tree_id", "tree"), ["host", "tree_id"]).join(maybe_broadcast(hosts), "host").select("host", "tree_id", "slot", "tree", "reference")
+    hosts = cut(trees.groupBy("host").agg(F.max_by("tree", F.struct("n", "tree")).alias("reference"), F.sum("n").alias("pages")).where(F.col("pages") >= min_pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = [aligned(t, r).get(s) for s, t, r in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2)), pa.array(at, pa.int32())], ["host", "tree_id", "slot", "at"])
-
-    placed = cut(paired.mapInArrow(run, "host string, tree_id long, slot int, at int").where("at > 0"))
-    texts = stats.where("slot > 0").join(maybe_broadcast(placed), ["host", "tree_id", "slot"]).groupBy("host", "at", "h").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"))
-    by_slot = texts.groupBy("host", "at").agg(F.max(F.struct("n", "h", "mass")).alias("most"), F.sum("n").alias("n"), F.sum("mass").alias("mass"))
-    by_slot = by_slot.join(maybe_broadcast(hosts), "host")
-    fixed = (F.col("most.n") >= constant_share * F.col("n")) & (2 * F.col("n") >= F.col("pages"))
-    varying = F.when(fixed, F.col("mass") - F.col("most.mass")).otherwise(F.col("mass"))
-    return by_slot.groupBy("host", "reference").agg(
-        F.map_from_entries(F.collect_list(F.when(fixed, F.struct("at", "most.h")))).alias("constant"),
-        F.map_from_entries(F.collect_list(F.when(varying > 0, F.struct("at", varying.alias("mass"))))).alias("masses"),
-    )
+            rows = [(h, i, slot, at) for h, i, t, x in zip(*(batch.column(k).to_pylist() for k in range(4))) for slot, at in aligned(t, x).items() if at > 0]
+            columns = zip(*rows) if rows else [[]] * 4
+            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["host", "tree_id", "slot", "at"])
+
+    paired = trees.join(maybe_broadcast(hosts), "host").select("host", "tree_id", "tree", "reference")
+    placed = cut(paired.mapInArrow(run, "host string, tree_id long, slot int, at int"))
+    texts = stats.where("slot > 0").select("host", "tree_id", "slot", "h", "n", "mass").join(maybe_broadcast(placed), ["host", "tree_id", "slot"])
+    texts = cut(texts.groupBy("host", "at", "h").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass")))
+    slots = cut(texts.where("h IS NULL").select("host", "at", F.col("n").alias("of")))
+    fixed = (F.col("n") >= constant_share * F.col("of")) & (2 * F.col("of") >= F.col("pages"))
+    known = texts.where("h IS NOT NULL").join(maybe_broadcast(slots), ["host", "at"]).join(maybe_broadcast(hosts.select("host", "pages")), "host").withColumn("fixed", fixed)
+    by_slot = known.groupBy("host", "at").agg(F.sum(F.when(~F.col("fixed"), F.col("mass"))).alias("mass"), F.collect_list(F.when(F.col("fixed"), F.struct("at", "h"))).alias("constant"))
+    by_host = by_slot.groupBy("host").agg(F.flatten(F.collect_list("constant")).alias("constant"), F.map_from_entries(F.collect_list(F.when(F.col("mass") > 0, F.struct("at", "mass")))).alias("masses"))
+    return by_host.join(maybe_broadcast(hosts.select("host", "reference")), "host").select("host", "reference", "constant", "masses")
 
 
 def region_of(tree: Tree, masses: dict[int, int]) -> int:
@@ -328,7 +333,7 @@ def region_of(tree: Tree, masses: dict[int, int]) -> int:
     return at
 
 
-def main_text(html: str | None, reference: str | None = None, constant: dict[int, int] | None = None, masses: dict[int, int] | None = None) -> str:
+def main_text(html: str | None, reference: str | None = None, constant: set[tuple[int, int]] | None = None, masses: dict[int, int] | None = None) -> str:
     """The page's content blocks, joined by two line feeds."""
     if not html:
         return ""
@@ -341,12 +346,10 @@ def main_text(html: str | None, reference: str | None = None, constant: dict[int
             if len(store) > 2000:
                 store.clear()
             store[reference] = (masses, region_of(Tree.of(reference), masses))
-        region, fixed = store[reference][1], constant or {}
+        region, fixed = store[reference][1], constant or set()
         inside = {k for k, r in pairs.items() if r == region}
-        texts = slot_texts(blocks)
-        template = {k for k, r in pairs.items() if r in fixed and k in texts and text_hash(texts[k]) == fixed[r]}
     else:
-        inside, template = set(), set()
+        inside, fixed, pairs = set(), set(), {}
 
     def state(node: Node) -> tuple[bool, bool, bool]:
         """In the region; in an article; boilerplate."""
@@ -380,8 +383,8 @@ def main_text(html: str | None, reference: str | None = None, constant: dict[int
     kept = [x for x in judged if not x[2][2]]
     if any(x[2][1] for x in kept):
         kept = [x for x in kept if x[2][1]]
-    if any(x[2][0] and x[0].slot not in template for x in kept):
-        kept = [x for x in kept if x[2][0] and x[0].slot not in template]
+    slots = [x for x in kept if x[2][0] and (pairs.get(x[0].slot), text_hash(x[1])) not in fixed]
+    kept = slots or kept
     return "\n\n".join(x[1] for x in kept)
 
 
@@ -394,7 +397,7 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in (3, 4, 5)]
-            out = [main_text(h.as_py(), r, dict(c) if c is not None else None, dict(m) if m is not None else None) for h, r, c, m in zip(batch.column(2), *columns)]
+            out = [main_text(h.as_py(), r, {(x["at"], x["h"]) for x in c or ()}, dict(m or ())) for h, r, c, m in zip(batch.column(2), *columns)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string")
