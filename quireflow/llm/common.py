@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +45,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Within it, what is computed sends Python workers so many rows at a time: a long text has a hundred kilobytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def trim() -> None:
+    """Gives freed memory of the Python worker back, as workers live on between stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def row_bytes(df: DataFrame) -> Column:
     """About what a row takes in a broadcast table: 16 bytes for each field, and its strings, arrays and maps."""
     size = F.lit(24 + 16 * len(df.columns))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import trim
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -72,13 +72,6 @@ class Encoder:
         return np.array(self.library().encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
-def encoder(path: str) -> Encoder:
-    store = worker_cache()
-    if ("encoder", path) not in store:
-        store["encoder", path] = Encoder(path)
-    return store["encoder", path]
-
-
 def fill(items: list[tuple], capacities: list[int], linear: float, quadratic: float) -> tuple[list[list[tuple]], list[tuple]]:
     """Items (key, ids, start, length) by descending length into bins; cut only where no bin has room for all of it.
 
@@ -138,7 +131,7 @@ def pack_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, next_id = encoder(path), TaskContext.get().partitionId() << 33
+        encode, next_id = Encoder(path), TaskContext.get().partitionId() << 33
         block: list[tuple] = []
         held, carried = 0, []
 
@@ -167,6 +160,8 @@ def pack_documents(
                 if held >= block_tokens:
                     yield close(False)
         yield close(True)
+        del encode  # a worker that lives on keeps no vocabulary
+        trim()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 
