@@ -44,9 +44,9 @@ def contained(sentences: DataFrame, aliases: DataFrame, keys: list[str], lengths
     return s.select(*keys, F.inline(grams)).join(small(aliases), ["alias", *also]).groupBy(*keys, *[c for c in aliases.columns if c not in also]).agg(F.min("at").alias("first_pos"))
 
 
-def alias_lengths(aliases: DataFrame, most: int = 12) -> list[int]:
-    """The token lengths that aliases have, at most ``most`` of them; read from the lexicon."""
-    return sorted(r[0] for r in aliases.select(F.size(F.split("alias", " ")).alias("n")).distinct().orderBy("n").limit(most).collect())
+def alias_lengths(aliases: DataFrame) -> list[int]:
+    """The token lengths that aliases have, all of them; read from the lexicon."""
+    return sorted(r[0] for r in aliases.select(F.size(F.split("alias", " ")).alias("n")).distinct().collect())
 
 
 def sentence_hits(sentences: DataFrame, lexicon: DataFrame, keys: list[str], section_col: str = "section", min_confidence: float = 0.65, limit: int = 8) -> DataFrame:
@@ -123,7 +123,7 @@ def nearest_by_overlap(left: DataFrame, right: DataFrame, left_key: list[str], r
     """left_key, right_key, overlap: for each left sentence the right one of greatest token Jaccard of at least ``least``.
 
     A pair over the threshold shares a token among the first n - ceil(least n) + 1 of either side in one fixed
-    order of tokens, rarest first in effect by hash, so only those prefixes are joined; lengths must fit too.
+    order of tokens, that of their hashes, so only those prefixes are joined; lengths must fit too.
     """
 
     def side(df: DataFrame, keys: list[str], name: str) -> DataFrame:
