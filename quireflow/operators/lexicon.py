@@ -37,11 +37,14 @@ def canonicalize(phrases: DataFrame, lexicon: DataFrame, phrase_col: str = "phra
     return out.withColumn("canonical", F.coalesce("__term", F.col(phrase_col))).withColumn("bow_confidence", F.coalesce("__conf", F.lit(0.0))).drop("__key", "__term", "__conf")
 
 
-def contained(sentences: DataFrame, aliases: DataFrame, keys: list[str], lengths: list[int], text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
-    """Joins sentences with the aliases they contain: keys, every column of aliases, first_pos (word position). also: keys that aliases share."""
+def contained(sentences: DataFrame, aliases: DataFrame, keys: list[str], lengths: list[int], text_col: str = "text", also: tuple[str, ...] = (), occurrences: bool = False) -> DataFrame:
+    """Joins sentences with the aliases they contain: keys, every column of aliases, first_pos (word position). also: keys that aliases share.
+
+    occurrences: adds how many positions the alias stands at.
+    """
     s = barrier(sentences.select(*keys, F.col(text_col).alias("__text")), __tokens=tokens("__text"))
     grams = F.flatten(F.array(*[F.transform(ngrams(F.col("__tokens"), n), lambda g, i: F.struct(g.alias("alias"), i.alias("at"))) for n in lengths]))
-    return s.select(*keys, F.inline(grams)).join(small(aliases), ["alias", *also]).groupBy(*keys, *[c for c in aliases.columns if c not in also]).agg(F.min("at").alias("first_pos"))
+    return s.select(*keys, F.inline(grams)).join(small(aliases), ["alias", *also]).groupBy(*keys, *[c for c in aliases.columns if c not in also]).agg(F.min("at").alias("first_pos"), *([F.count("*").alias("occurrences")] if occurrences else []))
 
 
 def alias_lengths(aliases: DataFrame) -> list[int]:

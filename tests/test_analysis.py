@@ -318,6 +318,6 @@ def test_features(spark):
     assert features.match_features(u, m, s, "tfidf").first()["term"] == "deep graph" and features.matrix_report(m).first()["features"] == 3
     t = spark.createDataFrame([(1, 0, "intro", "graph net and graph net")], "doc_id long, sentence_index int, section string, text string")
     x = features.on_the_fly_tfidf(t, spark.createDataFrame([("graph net", "intro", 2.0), ("graph net", "method", 9.0)], "term string, section string, idf double"))
-    assert [(r["term"], r["tfidf"]) for r in x.collect()] == [("graph net", 2.0)]
+    assert [(r["term"], r["tfidf"]) for r in x.collect()] == [("graph net", 4.0)]
     d = features.tokenize_pieces(spark.createDataFrame([("ab",)], "text string"), ["a", "##b"]).first()["pieces"]
     assert d == ["a", "##b"]
