@@ -18,20 +18,13 @@ from ..operators import retrieval as V
 from ..operators import units as U
 from ..sources import readers
 from . import sql as Q
-from .core import bench_terms, docs, lead_phrases, sents
+from .core import bench_terms, docs, lead_phrases, query_into, sents
 
 QUERIES: dict = {}
 SQL: dict = {}
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+query = query_into(QUERIES, SQL)
 
 
 #: Rules with words that the tables have; ends of words are spaces or marks, alike in both engines.
@@ -44,10 +37,10 @@ BAD = {s: [w] for s, w in zip(rules.SECTIONS, ["eaux", "esta", "und", "that", "e
 NOISE = (["re ", "ti th"], ["is", "es"])
 
 
-def role_sql() -> str:
-    """struct(role, score) of sent.text and sent.section."""
-    cases = [f"WHEN section IN ({','.join(repr(s) for s, v in rules.SECTION_ROLES.items() if r in v)}) AND regexp_matches(text, '(?i){p}') THEN '{r}|0.82'" for r, p in PATTERNS if any(r in v for v in rules.SECTION_ROLES.values())]
-    cases += [f"WHEN regexp_matches(text, '(?i){p}') THEN '{r}|0.66'" for r, p in PATTERNS]
+def role_sql(patterns: list[tuple[str, str]] = PATTERNS) -> str:
+    """role|score of text and section."""
+    cases = [f"WHEN section IN ({','.join(repr(s) for s, v in rules.SECTION_ROLES.items() if r in v)}) AND regexp_matches(text, '(?i){p}') THEN '{r}|0.82'" for r, p in patterns if any(r in v for v in rules.SECTION_ROLES.values())]
+    cases += [f"WHEN regexp_matches(text, '(?i){p}') THEN '{r}|0.66'" for r, p in patterns]
     first = " ".join(f"WHEN '{s}' THEN '{v[0]}|0.45'" for s, v in rules.SECTION_ROLES.items())
     return f"CASE {' '.join(cases)} ELSE CASE section {first} END END"
 

@@ -17,14 +17,22 @@ QUERIES: dict = {}
 SQL: dict = {}
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+def query_into(queries: dict, oracle: dict):
+    """A decorator that registers a query and its SQL."""
+
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                oracle[f.__name__] = sql
+            return f
+
+        return add
+
+    return query
+
+
+query = query_into(QUERIES, SQL)
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
