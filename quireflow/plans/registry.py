@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from . import analysis, composed, core
+from . import analysis, composed, core, helpers
 
 
 def doubles(sql: str) -> str:
@@ -28,8 +28,8 @@ def typed(name: str, sql: str) -> str:
 
 
 def queries() -> dict:
-    return {**core.QUERIES, **analysis.QUERIES, **composed.QUERIES}
+    return {**core.QUERIES, **analysis.QUERIES, **composed.QUERIES, **helpers.QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {k: typed(k, doubles(v)) for k, v in {**core.SQL, **analysis.SQL, **composed.SQL}.items()}
+    return {k: typed(k, doubles(v)) for k, v in {**core.SQL, **analysis.SQL, **composed.SQL, **helpers.SQL}.items()}
