@@ -162,11 +162,30 @@ def filtered_out(spark, sf_dir):
     return gated(spark, sf_dir).where("status <> 'kept'").select("doc_id", "phrase", "status")
 
 
+def chain(spark, sf_dir):
+    """Units of re-ranked candidates, gated by words, lexicon and matrix, in order of importance rounded to four digits."""
+    from ..operators import features, stats
+
+    c = K.coverage_rerank(candidates(spark, sf_dir).drop("text"), 112).drop("rank")
+    u = U.concept_units(c, predictions(spark, sf_dir), 112, NOISE)
+    m = stats.term_matrix(sents(spark, sf_dir), bench_terms(spark, sf_dir), load(spark, sf_dir, "documents").count())
+    keyed = u.withColumn("__key", T.normalize("phrase"))
+    found = features.match_features(keyed.select("doc_id", F.col("__key").alias("phrase"), "section").distinct(), m, stats.matrix_summary(m))
+    keyed = keyed.join(found.select("doc_id", F.col("phrase").alias("__key"), "section", "tfidf_support"), ["doc_id", "__key", "section"], "left").drop("__key")
+    return U.gate(keyed.withColumn("trace", U.threshold_trace(F.col("phrase"), F.col("s_bow"), F.col("tfidf_support"))))
+
+
 @query()
 def evidence_payload(spark, sf_dir):
     return U.payload(gated(spark, sf_dir))
 
 
+@query()
+def reranked_payload(spark, sf_dir):
+    """evidence_payload with all steps: re-ranking, the matrix in the gate, rounded order."""
+    return U.payload(chain(spark, sf_dir))
+
+
 @query(f"""WITH {UNIT}, f AS (SELECT doc_id, r, sentence_index, section, role FROM fin WHERE status = 'kept'), p AS (SELECT *, min(r) OVER (PARTITION BY doc_id, sentence_index) AS fs, min(r) OVER (PARTITION BY doc_id, section, role) AS fr, row_number() OVER (PARTITION BY doc_id, section, role ORDER BY r) AS pr FROM f),
 e AS (SELECT a.doc_id, a.r AS i, b.r AS j, 0 AS k, a.fs AS g FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.r < b.r AND a.sentence_index = b.sentence_index
   UNION ALL SELECT a.doc_id, a.r, b.r, 1, a.fr FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.r < b.r AND a.section = b.section AND a.role = b.role WHERE b.pr <= 4),

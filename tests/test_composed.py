@@ -38,3 +38,19 @@ def test_noise_and_notes_vary(spark):
     assert 0 < noisy.sum() < len(noisy)
     scores = composed.QUERIES["cross_note_scores"](spark, SF).toPandas()
     assert all(scores[s].nunique() > 5 for s in rules.SECTIONS) and (scores.conclusion == 0).any()
+
+
+def test_whole_chain_by_hand(spark):
+    """Importance comes from the re-ranked score; the gate counts the matrix; order is by importance of four digits."""
+    from quireflow.plans import analysis
+
+    u = analysis.chain(spark, SF).toPandas()
+    scored = u[["s_rerank", "evidence_score", "unit_importance"]]
+    assert len(u) and (u.s_rerank < u.s_candidate).any() and scored.notna().all().all()
+    by_tfidf = u[(u.tfidf_support >= 0.5)]
+    assert len(by_tfidf) and (by_tfidf.status != "failed").all()
+    for _, d in u[u.status == "kept"].groupby("doc_id"):
+        d = d.assign(o=d.unit_importance.round(4)).sort_values("final_rank")
+        assert d.final_rank.tolist() == list(range(1, len(d) + 1)) and len(d) <= 28
+        assert d.o.tolist() == sorted(d.o, reverse=True)
+        assert d.sort_values(["o", "sentence_index", "phrase"], ascending=[False, True, True]).final_rank.tolist() == d.final_rank.tolist()
